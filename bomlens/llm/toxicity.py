@@ -18,14 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Labelled texts that the model is fitted on at most; those with the smallest hashes of their ids.
 SAMPLE = 12_000
+COPY_HASHES = 4
 LANDMARKS, NEGATIVES = 160, 4000
 DECAY, SYMBOLS = 0.7, 64
 #: Letters scored at a time; longer words are scored in overlapping parts.
 PART, STEP = 20, 10
 CACHE_WORDS = 400_000
 SLOPE = 4.0
+#: Rounds in which words that come too near to the insults become examples.
+MINING = 5
 
 #: Digits and signs that stand for letters (fixed values).
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -63,9 +68,11 @@ def parts(letters: str) -> list[str]:
 
 
 def codes(ws: list[str]) -> np.ndarray:
-    """Words of one length as symbol numbers: a-z, then other letters by code point."""
+    """Words of one length as symbol numbers: an edge sign, a-z, other letters by code point, an edge sign."""
     c = np.array([[ord(x) for x in w] for w in ws], np.int64)
-    return np.where((c >= 97) & (c <= 122), c - 97, 26 + c % (SYMBOLS - 26))
+    c = np.where((c >= 97) & (c <= 122), c - 97, 26 + c % (SYMBOLS - 27))
+    edge = np.full((len(ws), 1), SYMBOLS - 1)
+    return np.concatenate([edge, c, edge], axis=1)
 
 
 _triples: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -134,7 +141,7 @@ class Model:
     def margins(self, ws: list[str]) -> np.ndarray:
         """Of normal words of any lengths; the worst part counts."""
         flat = [(p, x) for p, w in enumerate(ws) for x in parts(w)]
-        got = Words([x for _, x in flat]).dot(self.weights) + self.bias
+        got = np.concatenate([Words([x for _, x in flat[s : s + 10_000]]).dot(self.weights) + self.bias for s in range(0, len(flat), 10_000)])
         out = np.full(len(ws), -np.inf)
         np.maximum.at(out, [p for p, _ in flat], got)
         return out
@@ -170,37 +177,35 @@ def fit(stats: list[tuple[str, int, int]], base_rate: float) -> Model:
                 m[0] += pos
                 m[1] += neg
     rate = min(max(base_rate, 1e-6), 1 - 1e-6)
-    bar = math.log(max(2, len(merged))) + 4
+    bar = math.log(max(2, len(merged))) + 2
     telling = lambda pos, neg: pos * math.log((pos / (pos + neg)) / rate) + (neg * math.log((neg / (pos + neg)) / (1 - rate)) if neg else 0)
     positive = sorted((w for w, (p, n) in merged.items() if p > 4 * n and telling(p, n) > bar), key=lambda w: (-merged[w][0], w))
     if not positive:
         return Model(np.zeros(SYMBOLS**3), -1.0)
     landmarks = positive[:LANDMARKS]
     others = sorted((w for w, (_, n) in merged.items() if n and w not in set(positive)), key=lambda w: (-merged[w][1], w))
-    lm = Words(landmarks)
-    # Common words and the closest ones to any landmark.
-    near = np.zeros(len(others))
-    pool = Words(others)
-    for j in range(lm.n):
-        w = np.zeros(SYMBOLS**3)
-        s = lm.row == j
-        w[lm.idx[s]] = lm.val[s]
-        near = np.maximum(near, pool.dot(w))
-    close = [others[i] for i in np.argsort(-near, kind="stable")[: NEGATIVES // 2]]
-    negative = list(dict.fromkeys([*others[: NEGATIVES // 2], *close]))
-    ks = lm.kernel(lm)
-    value, vector = np.linalg.eigh(ks)
-    keep = value > 1e-6 * value.max()
-    white = vector[:, keep] / np.sqrt(value[keep])
     some = positive[: 4 * LANDMARKS]
-    train = Words(some + negative)
-    x = train.kernel(lm) @ white
-    y = np.array([1.0] * len(some) + [-1.0] * len(negative))
-    weight = np.where(y > 0, max(1.0, len(negative) / len(some)) / 4, 1.0)
-    w, bias = train_svm(x, y, weight)
-    beta = white @ w
-    explicit = np.zeros(SYMBOLS**3)
-    np.add.at(explicit, lm.idx, lm.val * beta[lm.row])
+    negative = others[: NEGATIVES // 2]
+    for _ in range(MINING):
+        lm = Words(landmarks)
+        value, vector = np.linalg.eigh(lm.kernel(lm))
+        keep = value > 1e-6 * value.max()
+        white = vector[:, keep] / np.sqrt(value[keep])
+        x = Words(some + negative).kernel(lm) @ white
+        y = np.array([1.0] * len(some) + [-1.0] * len(negative))
+        # An example weighs as many texts as it stands in, damped.
+        weight = np.log1p([merged[w][0] for w in some] + [merged[w][1] for w in negative])
+        weight[: len(some)] *= max(1.0, weight[len(some) :].sum() / weight[: len(some)].sum()) / 4
+        w, bias = train_svm(x, y, weight)
+        explicit = np.zeros(SYMBOLS**3)
+        np.add.at(explicit, lm.idx, lm.val * (white @ w)[lm.row])
+        # Other words that come too near join the examples, and the worst of them the landmarks.
+        margin = Model(explicit, bias).margins(others)
+        worst = [others[i] for i in np.argsort(-margin, kind="stable")[:NEGATIVES] if margin[i] > -1]
+        if not worst or margin.max() < 0:
+            break
+        negative = list(dict.fromkeys([*negative, *worst[: NEGATIVES // 4]]))
+        landmarks = list(dict.fromkeys([*landmarks, *worst[: LANDMARKS // 2]]))
     return Model(explicit, bias)
 
 
@@ -234,13 +239,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(labels), "doc_id")  # at most SAMPLE rows
-    by_word = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("w")).filter("w <> ''")
+    split = F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "toxic", split.alias("words")), "labelled")
+    # Near copies would make all their words look telling: one text stays of those that share a minhash.
+    hashes = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(COPY_HASHES)]
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for row, *values in sorted(tuple(r) for r in rows.select("row", *hashes).collect()):
+        keys = set(enumerate(values))
+        if not keys & seen:
+            kept.append((row,))
+        seen |= keys
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "row long")), "row")
+    by_word = rows.select("toxic", F.explode("words").alias("w")).filter("w <> ''")
     by_word = by_word.groupBy("w").agg(F.sum("toxic").cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg"))
     # Words of the bounded sample: all that toxic texts repeat, and the most common of the others.
     telling = by_word.filter("pos >= 2 AND pos > neg").orderBy(F.desc("pos"), "neg", "w").limit(20_000)
-    common = by_word.filter("neg >= 1 AND pos <= neg").orderBy(F.desc("neg"), F.xxhash64("w"), "w").limit(40_000)
+    common = by_word.filter("neg >= 1 AND pos <= neg").orderBy(F.desc("neg"), F.xxhash64("w"), "w").limit(80_000)
     stats = [tuple(r) for r in telling.union(common).collect()]
-    n, toxic = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     return fit(stats, toxic / n if n else 0.5)
 
 
