@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from .ann_forest import op9_hash_prefix_forest
+from .context_tree import op6_context_tree_weighting
 from .mixing import op8_mixing
+from .ngram_join import op7_ngram_jaccard_join
 from .packing import op1_bm25_packing
 from .sharding import op2_hypergeometric_shards
+from .template_removal import op4_template_removal
 from .token_files import op5_wavelet_files
+from .toxicity import op10_string_kernel_toxicity
 
 QUERIES = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op4_template_removal": op4_template_removal,
     "op5_wavelet_files": op5_wavelet_files,
+    "op6_context_tree_weighting": op6_context_tree_weighting,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_mixing": op8_mixing,
+    "op9_hash_prefix_forest": op9_hash_prefix_forest,
+    "op10_string_kernel_toxicity": op10_string_kernel_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
