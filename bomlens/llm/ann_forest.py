@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 TREES, BITS = 40, 24
-#: Vectors of a shard on average, queries of a block, and the share of a shard's vectors at which the ascent stops.
-SHARD_ROWS, BLOCK_QUERIES, SHARE = 4096, 4096, 0.3
+#: Vectors of a shard on average, queries of a block, and the share of a shard's vectors at which the ascent stops (100 times k at least).
+SHARD_ROWS, BLOCK_QUERIES, SHARE = 4096, 4096, 0.45
 
 
 def planes(dim: int, trees: int, bits: int, seed: int = 11) -> np.ndarray:
@@ -117,7 +117,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             forest, q = Forest(own, x[asks == 0][at]), ids[asks == 1]
             q, first = np.unique(q, return_index=True)
             if len(q):
-                for i, found, scores in forest.search(x[asks == 1][first], q, k, max(4 * k, int(SHARE * len(own)))):
+                for i, found, scores in forest.search(x[asks == 1][first], q, k, max(100 * k, int(SHARE * len(own)))):
                     out[0].append(np.full(len(found), q[i]))
                     out[1].append(found)
                     out[2].append(scores)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann_forest import op9_hash_prefix_forest
 from .context_tree import op6_context_tree_weighting
+from .fingerprints import op3_chroma_fingerprints
 from .mixing import op8_mixing
 from .ngram_join import op7_ngram_jaccard_join
 from .packing import op1_bm25_packing
@@ -15,6 +16,7 @@ from .toxicity import op10_string_kernel_toxicity
 QUERIES = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_chroma_fingerprints": op3_chroma_fingerprints,
     "op4_template_removal": op4_template_removal,
     "op5_wavelet_files": op5_wavelet_files,
     "op6_context_tree_weighting": op6_context_tree_weighting,
