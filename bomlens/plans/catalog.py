@@ -1,6 +1,501 @@
-"""The catalogue of queries, with the SQL that gives the same rows."""
+"""The catalogue of queries, with the SQL that gives the same rows. Identifiers in brackets are those of the operator inventory."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bomlens.functions import documents as D
+from bomlens.functions import scalars as S
+from bomlens.operators import grid as G
+from bomlens.operators import matching as M
+from bomlens.operators import rollup as R
+from bomlens.operators import selection as L
+from bomlens.plans.standins import CELLS, COMPONENTS, CURRENT, JOBS, WORKERS, all_jobs, components, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _repos(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("repo"))
+
+
+def _current(spark, d):
+    return G.latest(all_jobs(spark, d), ["repo", "worker"], "job_id")
+
+
+def _cells(spark, d):
+    return G.with_status(G.grid(_repos(spark, d), WORKERS), _current(spark, d))
+
+
+def _job_totals(spark, d):
+    return components(spark, d).groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+
+
+# Grid and status
+
+
+@query(f"SELECT worker, {', '.join(f'''count(*) FILTER (status = '{s}') AS {s}''' for s in S.STATUSES)} FROM ({CELLS}) GROUP BY worker")
+def status_by_worker(spark, d):
+    """N01, N02, A04, F12."""
+    return G.status_counts(_cells(spark, d))
+
+
+@query(f"""SELECT worker, count(*) AS jobs, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'timeout') AS timeout,
+ count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'completed' AND coalesce(total, 0) = 0) AS empty
+ FROM ({CELLS}) c LEFT JOIN (SELECT job_id, count(*) AS total FROM ({COMPONENTS}) WHERE type = 'A' GROUP BY 1) t USING (job_id) GROUP BY worker""")
+def worker_summary(spark, d):
+    """A05."""
+    totals = components(spark, d).filter("type = 'A'").groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    return G.worker_summary(_cells(spark, d).join(totals, "job_id", "left"), F.coalesce("total", F.lit(0)))
+
+
+@query(f"""SELECT repo, {', '.join(f'''coalesce(max(total) FILTER (worker = '{w}'), 0)::BIGINT AS "{w}"''' for w in WORKERS)}
+ FROM ({CURRENT}) JOIN (SELECT job_id, count(*) AS total FROM ({COMPONENTS}) GROUP BY 1) USING (job_id) WHERE status = 'completed' GROUP BY repo""")
+def component_pivot(spark, d):
+    """A06, P04, N03."""
+    done = _current(spark, d).filter("status = 'completed'").select("job_id", "repo", "worker")
+    return G.totals_pivot(done.join(_job_totals(spark, d), "job_id"), WORKERS)
+
+
+@query(f"""SELECT worker, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
+ count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status IN ('completed', 'failed', 'cancelled')) AS done,
+ round(count(*) FILTER (status IN ('completed', 'failed', 'cancelled')) / count(*), 6) AS share FROM ({JOBS}) GROUP BY worker""")
+def inspection_progress(spark, d):
+    """A09, A10, T04."""
+    return G.progress(all_jobs(spark, d), ["worker"])
+
+
+@query(f"""SELECT count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancelled') AS cancelled,
+ count(*) FILTER (status = 'fired') AS pending, count(*) AS jobs, floor(sum((price * 100)::BIGINT) / 100)::BIGINT AS total_seconds, floor(sum((price * 100)::BIGINT) / 100 / count(price))::BIGINT AS mean_seconds FROM ({JOBS})""")
+def global_job_stats(spark, d):
+    """A08."""
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    cents = F.sum(F.round(F.col("price") * 100).cast("long"))
+    return all_jobs(spark, d).agg(is_("completed").alias("completed"), is_("failed").alias("failed"), is_("cancelled").alias("cancelled"), is_("fired").alias("pending"), F.count(F.lit(1)).alias("jobs"), F.floor(cents / 100).cast("long").alias("total_seconds"), F.floor(cents / 100 / F.count("price")).cast("long").alias("mean_seconds"))
+
+
+@query(f"SELECT repo, worker FROM ({CELLS}) c WHERE NOT EXISTS (SELECT 1 FROM ({JOBS}) j WHERE j.status = 'completed' AND j.repo = c.repo AND j.worker = c.worker)")
+def retry_anti_join(spark, d):
+    """N07, K06."""
+    done = all_jobs(spark, d).filter("status = 'completed'").select("repo", "worker").distinct()
+    return G.to_retry(G.grid(_repos(spark, d), WORKERS), done)
+
+
+@query(f"SELECT event_id, user_id AS job_id, event_type FROM events WHERE user_id IN (SELECT job_id FROM ({JOBS}) WHERE status = 'fired')")
+def pending_semi_join(spark, d):
+    """Events as results; those of jobs that aren't pending are absorbed."""
+    results = table(spark, d, "events").select("event_id", F.col("user_id").alias("job_id"), "event_type")
+    return G.fresh(all_jobs(spark, d), results, ["fired"])
+
+
+# Roll-ups
+
+
+@query(f"""SELECT (3 - grouping(type) - grouping(asset) - grouping(name))::INTEGER AS level, type, asset, name, count(*) AS n
+ FROM ({COMPONENTS}) GROUP BY ROLLUP (type, asset, name)""")
+def component_rollup(spark, d):
+    """A01, J17."""
+    return R.component_rollup(components(spark, d))
+
+
+_COUNTS = f"SELECT repo % 50 AS repo, worker, type, asset, name, count(*) AS n FROM ({COMPONENTS}) JOIN ({JOBS}) USING (job_id) GROUP BY ALL"
+
+
+def _counts(spark, d):
+    jobs = all_jobs(spark, d).select("job_id", (F.col("repo") % 50).alias("repo"), "worker")
+    return components(spark, d).join(jobs, "job_id").groupBy("repo", "worker", "type", "asset", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH c AS ({_COUNTS}), s AS (SELECT *, split_part(name, '-', 1) AS base, CASE WHEN strpos(name, '-') > 0 THEN substr(name, strpos(name, '-')) ELSE '' END AS suffix FROM c),
+ t AS (SELECT repo::VARCHAR AS repo, type, asset, base, {', '.join(f'''coalesce(sum(n) FILTER (worker = '{w}'), 0)::BIGINT AS "{w}"''' for w in WORKERS)},
+ coalesce(string_agg(DISTINCT suffix, ', ' ORDER BY suffix) FILTER (suffix <> ''), '') AS sufs, count(DISTINCT suffix) FILTER (suffix <> '') AS k, bool_or(suffix = '') AS own FROM s GROUP BY 1, 2, 3, 4)
+ SELECT repo, type, asset, base, CASE WHEN k = 0 THEN base WHEN base = '' THEN sufs WHEN k = 1 AND NOT own THEN base || sufs ELSE base || ' (' || sufs || ')' END AS name, {', '.join(f'"{w}"' for w in WORKERS)} FROM t""")
+def component_comparison_table(spark, d):
+    """A02, P11."""
+    return R.comparison_table(_counts(spark, d).withColumn("repo", F.col("repo").cast("string")), WORKERS)
+
+
+@query(f"SELECT w.worker, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest({WORKERS!r}) AS worker) w LEFT JOIN (SELECT worker, sum(n) FILTER (type <> 'N') AS n FROM ({_COUNTS}) GROUP BY 1) USING (worker)")
+def filtered_component_counts(spark, d):
+    """A03, P09."""
+    return R.crypto_totals(_counts(spark, d), WORKERS, ["n"])
+
+
+@query("SELECT DISTINCT lower(p_type) AS type FROM part WHERE lower(trim(p_type)) NOT IN ('cryptographic-asset', 'crypto-asset')")
+def excluded_types(spark, d):
+    """D04, D05, P01."""
+    return R.excluded_types(table(spark, d, "part").select(F.col("p_type").alias("type")))
+
+
+@query(f"""SELECT worker, round(regr_slope(price, total), 6) AS slope, round(regr_intercept(price, total), 4) AS intercept, round(regr_r2(price, total), 6) AS r2, count(*) AS n
+ FROM ({JOBS}) JOIN (SELECT job_id, count(*) AS total FROM ({COMPONENTS}) GROUP BY 1) USING (job_id) GROUP BY worker""")
+def runtime_regression(spark, d):
+    """A11."""
+    return R.trend(all_jobs(spark, d).join(_job_totals(spark, d), "job_id"), "worker", "total", "price")
+
+
+@query("SELECT l_returnflag AS type, sum(l_quantity::BIGINT)::BIGINT AS quantity, sum(coalesce(try_cast(regexp_extract(l_linestatus, '[0-9]+') AS BIGINT), 0))::BIGINT AS odd, count(*) AS n FROM lineitem GROUP BY 1")
+def column_totals(spark, d):
+    """Values that are no numbers count as 0."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("type")).agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.sum(S.int_or_zero(F.col("l_linestatus"))).alias("odd"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH s AS (SELECT repo, worker, sum(n) AS c FROM ({_COUNTS}) GROUP BY 1, 2), t AS (SELECT repo, sum(c) AS total, sum(c * c) AS sq FROM s GROUP BY 1)
+ SELECT repo, total::BIGINT AS total, ((total * total - sq) / 2)::BIGINT AS pairs, round(1.5 + 0.01 * total + 0.00002 * ((total * total - sq) / 2), 6) AS seconds,
+ CASE WHEN 1.5 + 0.01 * total + 0.00002 * ((total * total - sq) / 2) <= 5 THEN '<5 seconds'
+ WHEN 1.5 + 0.01 * total + 0.00002 * ((total * total - sq) / 2) < 60 THEN greatest(5, floor((1.5 + 0.01 * total + 0.00002 * ((total * total - sq) / 2) + 4) / 5)::INTEGER * 5 - 5)::VARCHAR || '-' || (floor((1.5 + 0.01 * total + 0.00002 * ((total * total - sq) / 2) + 4) / 5)::INTEGER * 5)::VARCHAR || ' seconds'
+ WHEN 1.5 + 0.01 * total + 0.00002 * ((total * total - sq) / 2) < 120 THEN '1-2 minutes' WHEN 1.5 + 0.01 * total + 0.00002 * ((total * total - sq) / 2) < 300 THEN '2-5 minutes'
+ WHEN 1.5 + 0.01 * total + 0.00002 * ((total * total - sq) / 2) < 600 THEN '5-10 minutes' ELSE 'longer' END AS band FROM t""")
+def runtime_bucket(spark, d):
+    """F06, F07, N12."""
+    sums = _counts(spark, d).groupBy("repo", "worker").agg(F.sum("n").alias("c"))
+    rows = sums.groupBy("repo").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+    rows = rows.withColumn("pairs", S.pair_count(F.col("total"), F.col("sq"))).withColumn("seconds", S.matching_seconds(F.col("total"), F.col("pairs")))
+    return rows.select("repo", "total", F.col("pairs").cast("long").alias("pairs"), F.round("seconds", 6).alias("seconds"), S.runtime_band(F.col("seconds")).alias("band"))
+
+
+# Windows, order, limits
+
+
+@query("SELECT user_id, event_type, event_id, ts, round(value, 4) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def latest_result_per_key(spark, d):
+    """O03."""
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", F.round("value", 4).alias("value"))
+    return G.latest(rows, ["user_id", "event_type"], "ts", "event_id")
+
+
+@query("SELECT user_id, event_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1")
+def dominant_category(spark, d):
+    """A12, S11."""
+    counts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return L.argmax(counts, ["user_id"], "event_type", "n")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 50")
+def newest_inspections(spark, d):
+    """The fifty newest (the limit is the feature)."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return L.top(rows, 50, S.newest_first(F.col("o_orderdate")), F.col("o_orderkey"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def paged_results(spark, d):
+    """The third page (the limit is the feature)."""
+    return L.page(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 3, 50, F.col("o_orderkey"))
+
+
+@query("SELECT p_brand, p_partkey, p_retailprice, rank FROM (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)::INTEGER AS rank FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')) WHERE rank <= CASE p_brand WHEN 'Brand#1' THEN 3 ELSE 2 END")
+def quota_topk(spark, d):
+    """Seven rows over three strata: 3, 2 and 2."""
+    parts = table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice")
+    return L.quota_top(parts, "p_brand", L.quotas(7, ["Brand#1", "Brand#2", "Brand#3"]), F.desc("p_retailprice"), F.col("p_partkey"))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
+def topk_global(spark, d):
+    """O05, S08, S09."""
+    return L.top(table(spark, d, "part").select("p_partkey", "p_retailprice"), 25, F.desc("p_retailprice"), F.col("p_partkey"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice NULLS LAST, l_linenumber)::INTEGER AS rank FROM lineitem")
+def match_ranking(spark, d):
+    """O02."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return L.match_rank(rows, ["l_orderkey"], "l_extendedprice", "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey", "rank")
+
+
+@query("SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) = 1")
+def ordered_dedupe(spark, d):
+    """D02, D03."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey")
+    return L.first_of(rows, ["l_orderkey", "l_suppkey"], "l_linenumber", "l_partkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer#00000012%'")
+def prefix_lookup(spark, d):
+    """No exact id, so all that begin so."""
+    return L.prefix_lookup(table(spark, d, "customer").select("c_custkey", "c_name"), "c_name", "Customer#00000012")
+
+
+# Lookups and search
+
+
+@query("""SELECT c_custkey, coalesce(n_name, '') AS nation, CASE WHEN coalesce(n_name, '') = '' THEN '' ELSE '💬 ' || n_name END || CASE WHEN c_acctbal::BIGINT > 0 THEN ' · ⭐' || format('{:,}', c_acctbal::BIGINT) ELSE '' END || CASE WHEN c_custkey > 0 THEN ' · 💾' || format('{:,}', c_custkey) || ' KB' ELSE '' END AS info, 'https://github.com/' || c_name AS url FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def info_lookup_left(spark, d):
+    """N04, N05, P13, P14, F14, F15. The dimension is left to the optimizer, which checks its size."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation").select("n_nationkey", "n_name")
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return rows.select("c_custkey", F.coalesce("n_name", F.lit("")).alias("nation"), S.repo_info(F.col("n_name"), F.round("c_acctbal").cast("long"), F.col("c_custkey")).alias("info"), S.repo_url(F.lit(None).cast("string"), F.col("c_name")).alias("url"))
+
+
+@query("""SELECT p_partkey, CASE WHEN s.s_suppkey IS NOT NULL THEN 'supplier' WHEN c.c_custkey IS NOT NULL THEN 'customer' ELSE 'none' END AS found
+ FROM part LEFT JOIN supplier s ON s_suppkey = p_partkey LEFT JOIN customer c ON c_custkey = p_partkey""")
+def fallback_lookup(spark, d):
+    """The first of three candidates that hits."""
+    keys = table(spark, d, "part").select("p_partkey")
+    found = lambda t, key, name: table(spark, d, t).select(F.col(key).alias("p_partkey"), F.lit(name).alias("found")).join(keys, "p_partkey", "left_semi")
+    return L.first_hit([found("supplier", "s_suppkey", "supplier"), found("customer", "c_custkey", "customer"), keys.withColumn("found", F.lit("none"))], ["p_partkey"])
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') AND lang = 'en'")
+def token_search(spark, d):
+    """P05, P06, P08."""
+    docs = table(spark, d, "documents").filter("lang = 'en'")
+    return docs.filter(L.holds_all(F.col("text"), ["the", "AND"])).select("doc_id", "lang", "source")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains('role:' || lower(role) || chr(10) || 'turn:' || turn || chr(10) || lower(left(text, 100000)), 'role:user') AND contains('role:' || lower(role) || chr(10) || 'turn:' || turn || chr(10) || lower(left(text, 100000)), 'th')")
+def deep_token_search(spark, d):
+    """P07."""
+    c = table(spark, d, "conversations")
+    return c.filter(L.deep_search(F.col("text"), ["role:user", "th"], ("role", F.col("role")), ("turn", F.col("turn")))).select("conv_id", "turn")
+
+
+@query(r"""SELECT page_id, array_to_string(list_slice(string_split(regexp_replace(trim(url), '/+$', ''), '/'), -2, -1), '/') AS repo,
+ trim(regexp_replace(regexp_replace(regexp_replace(trim(url), '\.git$', ''), '^https?://', ''), '[?#].*$', ''), '/') AS host_path FROM pages""")
+def url_parse(spark, d):
+    """S12, F19, F20."""
+    return table(spark, d, "pages").select("page_id", S.owner_and_repo(F.col("url")).alias("repo"), S.host_path(F.col("url")).alias("host_path"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '-' || p_brand || '@' || p_partkey), '@.*', '', 'g'), '[^a-z0-9]', '', 'g') AS harmonized, split_part(p_name || '-' || p_brand || '@' || p_partkey, '@', 1) AS name FROM part")
+def harmonize_text(spark, d):
+    """J08, F03, F25, F26."""
+    c = F.concat("p_name", F.lit("-"), "p_brand", F.lit("@"), F.col("p_partkey").cast("string"))
+    return table(spark, d, "part").select("p_partkey", S.harmonized(c).alias("harmonized"), S.name_before_at(c).alias("name"))
+
+
+# JSON documents
+
+
+def _documents(spark, d):
+    """A document for each customer in one of the accepted shapes, and broken ones."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    one = F.format_string('{"type":"%s","name":"%s@%d","cryptoProperties":{"assetType":"algorithm"}}', F.lower("c_mktsegment"), F.col("c_mktsegment"), F.col("c_custkey"))
+    two = F.format_string('{"type":"","name":"N-%d","cryptoProperties":{"assetType":"key","algorithmProperties":{"primitive":"ae"}}}', F.col("c_nationkey"))
+    body = F.concat(F.lit('{"components":['), one, F.lit(","), two, F.lit("]}"))
+    k = F.col("c_custkey") % 7
+    text = F.when(k == 0, body).when(k == 1, F.concat(F.lit('{"bom":'), body, F.lit("}"))).when(k == 2, F.concat(F.lit('[{"bom":'), body, F.lit("}]"))).when(k == 3, F.concat(F.lit("["), body, F.lit("]"))).when(k == 4, "{bad").when(k == 5, "").otherwise('{"components": []}')
+    return c.select("c_custkey", text.alias("doc"))
+
+
+_ONE = """'{"type":"' || lower(c_mktsegment) || '","name":"' || c_mktsegment || '@' || c_custkey || '","cryptoProperties":{"assetType":"algorithm"}}'"""
+_TWO = """'{"type":"","name":"N-' || c_nationkey || '","cryptoProperties":{"assetType":"key","algorithmProperties":{"primitive":"ae"}}}'"""
+_BODY = f"""'{{"components":[' || {_ONE} || ',' || {_TWO} || ']}}'"""
+_DOCS = f"""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN {_BODY} WHEN 1 THEN '{{"bom":' || {_BODY} || '}}' WHEN 2 THEN '[{{"bom":' || {_BODY} || '}}]' WHEN 3 THEN '[' || {_BODY} || ']' WHEN 4 THEN '{{bad' WHEN 5 THEN '' ELSE '{{"components": []}}' END AS doc FROM customer"""
+
+
+@query(f"""WITH d AS ({_DOCS}), j AS (SELECT c_custkey, CASE WHEN json_valid(doc) AND doc <> '' THEN doc::JSON END AS j FROM d),
+ l AS (SELECT c_custkey, coalesce(j->'$.components', j->'$.bom.components', j->'$[0].bom.components') AS l FROM j),
+ x AS (SELECT c_custkey, i AS pos, l->i AS c FROM l, unnest(range(coalesce(json_array_length(l), 0)::BIGINT)) AS t(i))
+ SELECT d.c_custkey, coalesce(pos, -1)::INTEGER AS pos, CASE WHEN pos IS NOT NULL THEN coalesce(nullif(c->>'$.type', ''), 'unknown') END AS type,
+ CASE WHEN pos IS NOT NULL THEN coalesce(c->>'$.cryptoProperties.assetType', '') || CASE WHEN coalesce(c->>'$.cryptoProperties.algorithmProperties.primitive', '') = '' THEN '' ELSE ' (' || (c->>'$.cryptoProperties.algorithmProperties.primitive') || ')' END END AS asset,
+ CASE WHEN pos IS NOT NULL THEN split_part(c->>'$.name', '@', 1) END AS name FROM d LEFT JOIN x USING (c_custkey)""")
+def json_components(spark, d):
+    """Components of documents in all shapes; documents without any keep a row."""
+    return D.exploded(_documents(spark, d), "doc").drop("doc").withColumn("pos", F.coalesce("pos", F.lit(-1)))
+
+
+@query(f"""WITH j AS (SELECT c_custkey, CASE WHEN json_valid(doc) AND doc <> '' THEN doc::JSON END AS j FROM ({_DOCS}))
+ SELECT c_custkey, coalesce(json_array_length(coalesce(j->'$.components', j->'$.bom.components', j->'$[0].bom.components')), 0)::INTEGER AS counted,
+ coalesce(json_array_length(coalesce(j->'$.components', j->'$.bom.components', j->'$[0].bom.components', j->'$[0].components')), 0)::INTEGER AS matched FROM j""")
+def json_roots(spark, d):
+    """The two extractors differ on a list of documents."""
+    doc = D.parsed(F.col("doc"))
+    return _documents(spark, d).select("c_custkey", F.size(D.components(doc)).alias("counted"), F.size(D.components(doc, D.MATCHED_ROOTS)).alias("matched"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props_extract(spark, d):
+    """J01, J18."""
+    return table(spark, d, "events").select("event_id", F.try_variant_get(D.parsed(F.col("props")), "$.k", "bigint").alias("k"))
+
+
+@query(f"SELECT c_custkey, CASE WHEN trim(doc) = '' THEN 'empty_json' WHEN NOT json_valid(doc) THEN 'invalid_json' END AS err, CASE WHEN trim(doc) = '' OR NOT json_valid(doc) THEN '{{}}' ELSE replace(doc, ': []', ':[]') END AS text FROM ({_DOCS})")
+def json_normalize_errors(spark, d):
+    """J02."""
+    text, err = D.normalized(F.col("doc"))
+    return _documents(spark, d).select("c_custkey", err.alias("err"), text.alias("text"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END::BIGINT AS strict, CASE WHEN p_partkey % 3 < 2 THEN p_size ELSE 0 END::BIGINT AS loose FROM part""")
+def int_coercion(spark, d):
+    """whole numbers, numbers with decimals, and text."""
+    p = table(spark, d, "part")
+    s = F.col("p_size").cast("string")
+    text = F.when(F.col("p_partkey") % 3 == 0, s).when(F.col("p_partkey") % 3 == 1, F.concat(s, F.lit(".7"))).otherwise("n/a")
+    return p.select("p_partkey", S.int_or_zero(text).alias("strict"), S.int_or(text).alias("loose"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS s FROM orders)
+ SELECT o_orderkey, CASE WHEN s // 86400 > 0 THEN (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's'
+ WHEN s // 3600 > 0 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's'
+ WHEN s // 60 > 0 THEN (s // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE s || 's' END AS duration FROM s""")
+def human_duration(spark, d):
+    """F08."""
+    return table(spark, d, "orders").select("o_orderkey", S.human_duration(F.col("o_totalprice")).alias("duration"))
+
+
+@query(f"""SELECT job_id, CASE status WHEN 'fired' THEN '💤' WHEN 'completed' THEN '✅ ' || format('{{:.1f}}', (job_id % 100)::DOUBLE) || 's · ' || format('{{:.1f}}', job_id * 128 / 1024.0) || ' KB'
+ ELSE CASE payload_status WHEN 'timeout' THEN '⏰ Timeout' ELSE '💥 Failed' END END AS cell FROM ({JOBS})""")
+def result_cells(spark, d):
+    """F09, F10, F11, F13."""
+    return all_jobs(spark, d).select("job_id", S.result_cell(F.col("status"), F.col("payload_status"), (F.col("job_id") % 100).cast("double"), F.col("job_id") * 128).alias("cell"))
+
+
+@query("SELECT a.p_partkey AS a, b.n_nationkey AS b, round(CASE WHEN a.p_name = b.n_name THEN 0 ELSE 0.5 + levenshtein(a.p_name, b.n_name) / greatest(length(a.p_name), length(b.n_name)) END, 6) AS cost FROM part a JOIN nation b ON a.p_partkey % 25 = b.n_nationkey")
+def rename_costs(spark, d):
+    """F23, F24."""
+    a, b = table(spark, d, "part"), table(spark, d, "nation")
+    cost = S.rename_cost(F.lit("key"), F.col("p_name"), F.lit("key"), F.col("n_name"))
+    return a.join(b, F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.col("p_partkey").alias("a"), F.col("n_nationkey").alias("b"), F.round(cost, 6).alias("cost"))
+
+
+@query("SELECT item_id, chr(i::INTEGER) AS letter, (length(lower(text)) - length(replace(lower(text), chr(i::INTEGER), '')))::INTEGER AS n FROM benchmark, unnest(range(97, 123)) AS t(i)")
+def letter_histogram(spark, d):
+    """A18, M04."""
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(S.letter_histogram(F.col("text"))).alias("i", "n"))
+    return rows.select("item_id", F.char(F.col("i") + 97).alias("letter"), "n")
+
+
+@query("SELECT DISTINCT source, w FROM (SELECT source, unnest(string_split_regex(lang || ', ' || source || ' ' || lang, '[\\s,]+')) AS w FROM documents) WHERE w <> ''")
+def parsed_lists(spark, d):
+    """D01, D06."""
+    rows = table(spark, d, "documents").select("source", F.explode(S.parsed_list(F.concat("lang", F.lit(", "), "source", F.lit(" "), "lang"))).alias("w"))
+    return rows.distinct()
+
+
+@query("""WITH h AS (SELECT c_custkey, md5(c_name) AS h FROM customer),
+ p AS (SELECT c_custkey, ('0x' || substr(h, 1, 7))::BIGINT AS a, ('0x' || substr(h, 8, 7))::BIGINT AS b, ('0x' || substr(h, 15, 7))::BIGINT AS c, ('0x' || substr(h, 22, 7))::BIGINT AS d, ('0x' || substr(h, 29, 4))::BIGINT AS e FROM h)
+ SELECT c_custkey, CASE WHEN (((((a % 13) * 268435456 + b) % 13 * 268435456 + c) % 13 * 268435456 + d) % 13 * 65536 + e) % 13 = 0 THEN 'timeout'
+ WHEN (((((a % 11) * 268435456 + b) % 11 * 268435456 + c) % 11 * 268435456 + d) % 11 * 65536 + e) % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM p""")
+def synthetic_producer_status(spark, d):
+    """Which synthetic jobs time out or fail."""
+    c = F.col("c_name")
+    status = F.when(S.hash_bucket(c, 13) == 0, "timeout").when(S.hash_bucket(c, 11) == 0, "error").otherwise("ok")
+    return table(spark, d, "customer").select("c_custkey", status.alias("status"))
+
+
+@query("""SELECT c_custkey AS id, json_extract_string(j, '$.name') AS name, json_extract_string(j, '$.workers[0]') AS worker, json_extract_string(j, '$.repo.full_name') AS full_name
+ FROM (SELECT c_custkey, json_object('name', c_name, 'workers', [c_mktsegment], 'repo', json_object('full_name', c_name, 'branch', 'main')) AS j FROM customer)""")
+def export_config_json(spark, d):
+    """A configuration is written as JSON and read back."""
+    c = table(spark, d, "customer")
+    text = F.to_json(F.struct(F.lit("1").alias("schema_version"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("workers"), F.struct(F.col("c_name").alias("full_name"), S.first_present(F.lit(""), F.lit("main")).alias("branch")).alias("repo")))
+    back = F.from_json(text, "name string, workers array<string>, repo struct<full_name: string, branch: string>")
+    return c.select(F.col("c_custkey").alias("id"), back.alias("j")).select("id", "j.name", F.element_at("j.workers", 1).alias("worker"), "j.repo.full_name")
+
+
+# Matching
+
+
+def _elements(spark, d):
+    """Components of orders as documents of a project: the customer modulo 200 is the project, the priority the document."""
+    jobs = all_jobs(spark, d).select("job_id", F.col("repo").alias("project"), F.substring("worker", 1, 1).cast("int").alias("file"))
+    rows = components(spark, d).join(jobs, "job_id")
+    return rows.select("project", "file", (F.col("job_id") * 8 + F.col("pos")).alias("component"), "type", "name", "p_name")
+
+
+_ELEMENTS = f"SELECT repo AS project, worker[1]::INTEGER AS file, job_id * 8 + pos AS component, type, name, p_name FROM ({COMPONENTS}) JOIN ({JOBS}) USING (job_id)"
+
+
+@query("""WITH e AS (SELECT vec_id AS component, label AS file, embedding AS v, vec_id % 10 AS block FROM embeddings)
+ SELECT block, file_a, component_a, file_b, component_b, rank FROM (SELECT a.block, a.file AS file_a, a.component AS component_a, b.file AS file_b, b.component AS component_b,
+ row_number() OVER (PARTITION BY a.block, a.file, a.component ORDER BY list_sum(list_transform(range(1, 65), lambda i: (a.v[i]::DOUBLE - b.v[i]::DOUBLE) * (a.v[i]::DOUBLE - b.v[i]::DOUBLE))), b.file, b.component)::INTEGER AS rank
+ FROM e a JOIN e b ON a.block = b.block AND a.file <> b.file) WHERE rank <= 3""")
+def knn_candidates(spark, d):
+    """Three nearest vectors of other files in each block."""
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 10).alias("block"), F.col("label").alias("file"), F.col("vec_id").alias("component"), F.col("embedding").alias("vector"))
+    return M.nearest(e, ["block"]).select("block", "file_a", "component_a", "file_b", "component_b", "rank")
+
+
+@query(f"""WITH e AS ({_ELEMENTS}), s AS (SELECT project, file, count(*) AS n FROM e GROUP BY 1, 2), p AS (SELECT project, file FROM s QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, file) = 1)
+ SELECT a.project, a.file AS file_a, a.component AS component_a, b.file AS file_b, b.component AS component_b, round(CASE WHEN a.p_name = b.p_name THEN 0 ELSE 0.5 + levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) END, 6) AS cost
+ FROM e a JOIN p USING (project, file) JOIN e b ON a.project = b.project AND a.file <> b.file""")
+def pairwise_cost_pivot(spark, d):
+    """The largest document of each project against the others."""
+    cost = F.round(S.rename_cost(F.lit(""), F.col("p_name_a"), F.lit(""), F.col("p_name_b")), 6)
+    return M.pairwise(_elements(spark, d), ["project"], cost, pivot=True).select("project", "file_a", "component_a", "file_b", "component_b", "cost")
+
+
+@query(f"""WITH e AS ({_ELEMENTS}), c AS (SELECT a.project, a.file AS file_a, b.file AS file_b, round(CASE WHEN a.p_name = b.p_name THEN 0 ELSE 0.5 + levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) END, 6) AS cost
+ FROM e a JOIN e b ON a.project = b.project AND a.file <> b.file) SELECT project, file_a, file_b, count(*) AS pairs, min(cost) AS least, sum((cost * 1000000)::BIGINT)::BIGINT AS micro FROM c GROUP BY ALL""")
+def pairwise_cost_all(spark, d):
+    """Every ordered pair of documents, summed up."""
+    cost = F.round(S.rename_cost(F.lit(""), F.col("p_name_a"), F.lit(""), F.col("p_name_b")), 6)
+    pairs = M.pairwise(_elements(spark, d), ["project"], cost, pivot=False)
+    return pairs.groupBy("project", "file_a", "file_b").agg(F.count(F.lit(1)).alias("pairs"), F.min("cost").alias("least"), F.sum(F.round(F.col("cost") * 1000000).cast("long")).alias("micro"))
+
+
+@query()
+def optimal_assignment(spark, d):
+    """The largest document of each project matched one to one with each other one."""
+    cost = S.rename_cost(F.lit(""), F.col("p_name_a"), F.lit(""), F.col("p_name_b"))
+    return M.assignment(M.pairwise(_elements(spark, d), ["project"], cost, pivot=True), ["project"])
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1),
+ both_ AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT x, x FROM both_ UNION SELECT r.node, b.y FROM r JOIN both_ b ON r.reach = b.x)
+ SELECT node, min(reach) AS label FROM r GROUP BY node""")
+def match_chains(spark, d):
+    """Parts and suppliers that large discounted lines link."""
+    e = table(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount = 0.1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
+    return M.chains(e, "a", "b")
+
+
+@query()
+def greedy_nway_match(spark, d):
+    """Neighbours by letter histograms, then tuples by shared attributes."""
+    e = _elements(spark, d).withColumn("attributes", M.attributes("type", "name", "p_name"))
+    e = e.withColumn("vector", S.letter_histogram(F.array_join(F.array_sort("attributes"), " ")))
+    near = M.nearest(e, ["project"])
+    return M.n_way(e.withColumn("file", F.col("file").cast("long")), near.select("project", F.col("file_a").cast("long").alias("file_a"), "component_a", F.col("file_b").cast("long").alias("file_b"), "component_b"), ["project"])
+
+
+@query()
+def bracket_notation(spark, d):
+    """J13, J14."""
+    return _documents(spark, d).select("c_custkey", M.bracket_notation("doc").alias("tree"))
+
+
+@query()
+def tree_edit_match(spark, d):
+    """Documents of customers of one nation and segment against the first of them."""
+    docs = _documents(spark, d).join(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey").filter("doc <> '' AND doc <> '{bad'")
+    first = L.first_of(docs.select("c_nationkey", "c_mktsegment", "c_custkey", "doc"), ["c_nationkey", "c_mktsegment"], "c_custkey").withColumnsRenamed({"c_custkey": "first", "doc": "first_doc"})
+    pairs = docs.join(first, ["c_nationkey", "c_mktsegment"]).filter("c_custkey <> first")
+    return pairs.select("first", "c_custkey", F.round(M.tree_edit_cost("first_doc", "doc"), 6).alias("cost"))
+
+
+# Streams
+
+
+@query("SELECT user_id AS job_id, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL")
+def stream_ingest_jobs(spark, d):
+    """Results are read as a stream, each once, and counted by job and kind."""
+    from bomlens.streaming.catalog import ingest_counts
+
+    return ingest_counts(spark, d)
+
+
+@query("""WITH r AS (SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' ELSE 'fired' END AS status FROM events)
+ SELECT job_id, coalesce(arg_min(status, (ts, event_id)) FILTER (status <> 'fired'), 'fired') AS status, count(*) AS results FROM r GROUP BY job_id""")
+def stream_dedupe_terminal_state(spark, d):
+    """The first final result decides a job's state; later ones are absorbed."""
+    from bomlens.streaming.catalog import terminal_states
+
+    return terminal_states(spark, d)
