@@ -5,9 +5,9 @@ fixed size, so the order is the same everywhere). Two sets of Jaccard similarity
 first n - ceil(t * n) + 1 shingles. These prefixes are dealt by shingle; lists of the documents of a shingle give
 candidates, which the lengths, the positions and a suffix filter thin out before a single exact check of each pair.
 
-A list of many near copies is not expanded into all its pairs. First every document of a list meets the list's
-first document of its length band; then, with the links found so far, only pairs from different components
-meet. The components are those of all links; only links inside a component that is already joined are not listed.
+A list of many near copies is not expanded into all its pairs. First every document of a list meets one of the list's most
+central documents; then, with the links found so far, only pairs from different components meet, first a few for each
+document and at last all that are left. The components are those of all links; only links inside a component that is already joined are not listed.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SKETCH_BITS, SKETCH_CHUNKS = 20, 16
 BLOOM_BITS = 23
 #: Prefix entries that a task holds before it sends them on.
 FLUSH = 1_000_000
+#: Rounds in which the documents of a list meet its first ones, and partners that each of those left outside then meets before all do.
+PIVOTS, FEW = 6, 4
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -69,6 +71,11 @@ def needed(n, m):
     return -((-SIMILARITY * (n + m)) // (100 + SIMILARITY))
 
 
+def _may_link(n, pos, m, at):
+    """The length and positional filters for sets of sizes n and m whose first common shingle stands at pos and at."""
+    return (100 * np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)) & (np.minimum(n - pos, m - at) >= needed(n, m))
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
 
@@ -154,7 +161,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _lists(blobs: DataFrame) -> DataFrame:
-    """From the entries of each bucket: candidate pairs with the first document of each length band (kind 1: a, b),
+    """From the entries of each bucket: candidate pairs with the most central documents (kind 1: a, b),
     and lists of three documents or more (kind 2: list, doc, n, pos). Rows of kind 0 pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +183,7 @@ def _lists(blobs: DataFrame) -> DataFrame:
             return
         token, doc, n, pos = (np.concatenate(c) for c in zip(*held))
         held = []
-        order = np.lexsort((doc, n, token))
+        order = np.lexsort((doc, pos, token))
         token, doc, n, pos = token[order], doc[order], n[order].astype(np.int64), pos[order].astype(np.int64)
         keep = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])
         group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1])]))
@@ -185,20 +192,21 @@ def _lists(blobs: DataFrame) -> DataFrame:
         doc, n, pos, group, token = doc[keep], n[keep], pos[keep], group[keep], token[keep]
         if not len(doc):
             return
-        # The first document of each band, band after band.
-        first = np.zeros(len(doc), np.int64)
+        # A document in which the shingle comes early has few rare ones of its own and stands in the middle of its
+        # copies. The others meet it first; those that can't link to it meet the next one that is left.
+        first = np.arange(len(doc))
         todo = np.arange(len(doc))
-        while len(todo):
+        for _ in range(PIVOTS):
+            if not len(todo):
+                break
             g = group[todo]
             lead = np.concatenate([[True], g[1:] != g[:-1]])
             head = todo[np.maximum.accumulate(np.where(lead, np.arange(len(todo)), 0))]
-            near = 100 * n[head] >= SIMILARITY * n[todo]
-            first[todo[near]] = head[near]
-            todo = todo[~near]
-        own = np.arange(len(doc))
-        room = np.minimum(n - pos, n[first] - pos[first])
-        good = (first != own) & (room >= needed(n, n[first]))
-        pairs = np.unique(np.stack([doc[first[good]], doc[good]], 1), axis=0)
+            met = _may_link(n[todo], pos[todo], n[head], pos[head]) & ~lead
+            first[todo[met]] = head[met]
+            todo = todo[~met & ~lead]
+        good = first != np.arange(len(doc))
+        pairs = np.unique(np.sort(np.stack([doc[first[good]], doc[good]], 1), axis=1), axis=0)
         yield from rows(1, pairs[:, 0], pairs[:, 1])
         longer = size[group] > 2
         # Lists with the same documents differ in positions alone: the first positions serve for all.
@@ -241,7 +249,6 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link; every pair is checked once, on the whole texts."""
     spark = docs.sparkSession
-    pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).select(F.pmod(F.xxhash64("id"), F.lit(1 << BLOOM_BITS)).alias("h"))
     words = ends.groupBy(F.expr("h div 62").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 62 AS int))")).alias("v")).collect()  # at most 2 ** BLOOM_BITS / 62 rows
     bits = np.zeros((1 << BLOOM_BITS) // 62 + 1, np.int64)
@@ -276,28 +283,38 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(full.mapInArrow(check, "a long, b long"), "verified")
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """Pairs of different components in each list, by lengths and positions."""
+def _across(lists: DataFrame, most: int | None) -> DataFrame:
+    """Pairs of different components in each list, by lengths and positions. With ``most``, documents outside
+    their list's largest component meet so many others at most: a first round that joins what links easily."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            for s in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 100_000, k]) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            found = []
             for entries in batch.column(0):
                 v = entries.values
                 doc, n, pos, comp = (v.field(k).to_numpy(zero_copy_only=False) for k in ("doc", "n", "pos", "component"))
-                order = np.lexsort((doc, n))
+                order = np.lexsort((doc, pos))
                 doc, n, pos, comp = doc[order], n[order], pos[order], comp[order]
-                names, at, size = np.unique(comp, return_inverse=True, return_counts=True)
+                _, at, size = np.unique(comp, return_inverse=True, return_counts=True)
                 large = int(np.argmax(size))
+                place = np.arange(len(doc))
                 for i in np.flatnonzero(at != large):
-                    ok = (comp != comp[i]) & ((at == large) | (np.arange(len(doc)) > i))
-                    ok &= (100 * np.minimum(n, n[i]) >= SIMILARITY * np.maximum(n, n[i])) & (np.minimum(n - pos, n[i] - pos[i]) >= needed(n, n[i]))
-                    j = np.flatnonzero(ok)
+                    ok = (at != at[i]) & ((at == large) | (place > i)) & _may_link(n, pos, n[i], pos[i])
+                    j = np.flatnonzero(ok)[:most]
                     if len(j):
                         found.append(np.stack([np.minimum(doc[j], doc[i]), np.maximum(doc[j], doc[i])], 1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            for s in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 100_000, k]) for k in (0, 1)], names=["a", "b"])
+                        held += len(j)
+                if held > FLUSH:
+                    yield from send()
+                    found, held = [], 0
+        if found:
+            yield from send()
 
     return lists.mapInArrow(run, "a long, b long")
 
@@ -328,15 +345,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         pairs = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("rep_a", "a").alias("x"), F.coalesce("rep_b", "b").alias("y"))
         return pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    first = of_class(table.filter("kind = 1").select("a", "b"))
-    links = _verified(docs, first)
-    same = components(links.union(copies.select("copy", "rep")))
+    tested = written(of_class(table.filter("kind = 1").select("a", "b")), "pairs")
+    same = components(_verified(docs, tested).union(copies.select("copy", "rep")))
     # What is left: pairs of different components in lists of three or more.
     entries = table.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("doc"), "n", "pos").groupBy("list", "doc").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
-    entries = entries.join(same.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = entries.groupBy("list").agg(F.collect_list(F.struct("doc", "n", "pos", "component")).alias("entries"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("entries")
-    more = _verified(docs, of_class(_across(mixed)))
-    final = components(more.union(same.select("node", "component")))
+    for most in (FEW, None):
+        now = entries.join(same.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        mixed = now.groupBy("list").agg(F.collect_list(F.struct("doc", "n", "pos", "component")).alias("entries"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        mixed = written(mixed.select("list", "entries"), "mixed-lists")
+        pairs = written(of_class(_across(mixed.select("entries"), most)).join(tested, ["a", "b"], "left_anti"), "pairs")
+        same = components(_verified(docs, pairs).union(same.select("node", "component")))
+        tested = tested.union(pairs)
+        entries = mixed.select("list", F.explode("entries").alias("e")).select("list", "e.doc", "e.n", "e.pos")
+    final = same
     whole = rows.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
