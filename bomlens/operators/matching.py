@@ -191,7 +191,7 @@ def bracket(value) -> str:
         return "{[]" + "".join(map(bracket, value)) + "}"
     if value is None:
         return "{null}"
-    return "{" + _plain(value if isinstance(value, str) else str(value)) + "}"
+    return "{" + (f'"{_plain(value)}"' if isinstance(value, str) else _plain(str(value))) + "}"
 
 
 @F.pandas_udf(T.StringType())
