@@ -499,3 +499,6 @@ def stream_dedupe_terminal_state(spark, d):
     from bomlens.streaming.catalog import terminal_states
 
     return terminal_states(spark, d)
+
+
+from bomlens.plans import more  # noqa: E402, F401  registers its queries
