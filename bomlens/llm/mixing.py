@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import WORD, shuffle_partitions, written
 
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 24
@@ -83,7 +83,9 @@ def mix(rows: DataFrame, *, block: int = 256, shard_blocks: int = 4096, weights:
     drawn = chunks.select("source", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(draws, (chunk + 1) * {CHUNK}) - 1)")).alias("draw"))
     counts = drawn.groupBy("source", F.pmod(F.xxhash64("source", "draw", F.lit(seed + 2)), F.lit(shards)).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("first", F.sum("n").over(Window.partitionBy("source").orderBy("shard")) - F.col("n"))
-    slots = counts.join(plan, same(counts, plan)).select(counts["source"], "shard", "source_size", "want", "n_full", "n_blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
+    # Few bytes before the rows multiply, so their number of tasks is given.
+    slots = counts.join(plan, same(counts, plan)).select(counts["source"], "shard", "first", counts["n"], "source_size", "want", "n_full", "n_blocks").repartition(shuffle_partitions(rows.sparkSession), "source", "shard")
+    slots = slots.select("source", "shard", "source_size", "want", "n_full", "n_blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
     lap, at = F.expr("slot div n_blocks"), F.expr("slot % n_blocks")
     slots = slots.withColumn("epoch", lap).withColumn("at", at)
     slots = slots.withColumn("block", F.when(F.col("at") < F.col("n_full"), permuted(F.col("at"), F.greatest("n_full", F.lit(1)), F.col("epoch"), F.col("source"), F.lit(seed + 3))).otherwise(F.col("at")))
