@@ -139,7 +139,8 @@ def n_way(elements: DataFrame, candidates: DataFrame, block: list[str]) -> DataF
     ``candidates``: block, file_a, component_a, file_b, component_b. Returns block, match, file, component; singletons are left out."""
     one = elements.groupBy(*block).agg(F.collect_list(F.struct("file", "component", "attributes")).alias("elements"))
     two = candidates.groupBy(*block).agg(F.collect_list(F.struct("file_a", "component_a", "file_b", "component_b")).alias("pairs"))
-    rows = one.join(two, block)
+    n = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = one.join(two, block).repartition(n, *block)  # the work is in the projects, not in their bytes
 
     def solve(batches):
         for batch in batches:
