@@ -14,48 +14,49 @@ def one(spark, column, value=None, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(column.alias("r")).first()["r"]
 
 
-V = F.col("v")
+def v():
+    return F.col("v")
 
 
 @pytest.mark.parametrize("value,want", [("SHA-256@1.2", "sha256"), ("secret-key@6812", "secretkey"), ("", ""), (None, None)])
 def test_harmonized(spark, value, want):
-    assert one(spark, S.harmonized(V), value) == want
+    assert one(spark, S.harmonized(v()), value) == want
 
 
 @pytest.mark.parametrize("value,want", [("a@b@c", "a"), ("@x", ""), (None, "")])
 def test_name_before_at(spark, value, want):
-    assert one(spark, S.name_before_at(V), value) == want
+    assert one(spark, S.name_before_at(v()), value) == want
 
 
 @pytest.mark.parametrize("value,strict,loose", [("12.7", 0, 12), ("12", 12, 12), ("x", 0, 0), (None, 0, 0)])
 def test_int_coercions(spark, value, strict, loose):
-    assert one(spark, S.int_or_zero(V), value) == strict
-    assert one(spark, S.int_or(V), value) == loose
+    assert one(spark, S.int_or_zero(v()), value) == strict
+    assert one(spark, S.int_or(v()), value) == loose
 
 
 @pytest.mark.parametrize("value,want", [(5.0, "<5 seconds"), (5.5, "5-5 seconds"), (7.0, "5-10 seconds"), (59.0, "55-60 seconds"), (60.0, "1-2 minutes"), (7200.0, "2-4 hours"), (14400.0, ">4 hours"), (None, "unknown")])
 def test_runtime_band(spark, value, want):
-    assert one(spark, S.runtime_band(V), value, "double") == want
+    assert one(spark, S.runtime_band(v()), value, "double") == want
 
 
 @pytest.mark.parametrize("value,want", [(0.0, "0s"), (0.25, "250ms"), (65.0, "1m 05s"), (3600.0, "1h 0m 00s"), (90061.0, "1d 1h 1m 01s"), (None, "0s")])
 def test_human_duration(spark, value, want):
-    assert one(spark, S.human_duration(V), value, "double") == want
+    assert one(spark, S.human_duration(v()), value, "double") == want
 
 
 @pytest.mark.parametrize("value,want", [(None, False), (" Crypto-Asset ", True), ("library", False)])
 def test_crypto_type(spark, value, want):
-    assert one(spark, S.is_crypto_type(V), value) is want
+    assert one(spark, S.is_crypto_type(v()), value) is want
 
 
 @pytest.mark.parametrize("value,want", [("https://github.com/a/b.git/", "a/b.git"), (" a/b ", "a/b"), ("http://x.org/p/q/r", "q/r")])
 def test_url_line(spark, value, want):
-    assert one(spark, S.owner_and_repo(V), value) == want
+    assert one(spark, S.owner_and_repo(v()), value) == want
 
 
 @pytest.mark.parametrize("value,want", [("git@github.com:o/r.git", "github.com/o/r"), ("https://h.org/o/r.git", "h.org/o/r"), ("h/o/r/", "h/o/r")])
 def test_host_path(spark, value, want):
-    assert one(spark, S.host_path(V), value) == want
+    assert one(spark, S.host_path(v()), value) == want
 
 
 def test_rename_cost(spark):
@@ -68,12 +69,12 @@ def test_hash_bucket_is_the_whole_number(spark):
 
     for text in ("", "a", "owner/name"):
         for n in (11, 13):
-            assert one(spark, S.hash_bucket(V, n), text) == int(hashlib.md5(text.encode()).hexdigest(), 16) % n
+            assert one(spark, S.hash_bucket(v(), n), text) == int(hashlib.md5(text.encode()).hexdigest(), 16) % n
 
 
 @pytest.mark.parametrize("value,want", [("", ("{}", "empty_json")), (None, ("{}", "empty_json")), ("{bad", ("{}", "invalid_json")), ("{} x", ("{}", "invalid_json")), ('{ "b": 1 }', ('{"b":1}', None)), ('{"k": "a  b", "a": [1, 2]}', ('{"k":"a  b","a":[1,2]}', None))])
 def test_normalized(spark, value, want):
-    text, err = D.normalized(V)
+    text, err = D.normalized(v())
     assert (one(spark, text, value), one(spark, err, value)) == want
 
 
