@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from .shared import written
 
 #: Labelled texts that the model is fitted on at most; those with the smallest hashes of their ids.
 SAMPLE = 12_000
-COPY_HASHES = 4
+COPY_HASHES, PASSAGE_WORDS = 4, 16
 LANDMARKS, NEGATIVES = 160, 4000
 DECAY, SYMBOLS = 0.7, 64
 #: Letters scored at a time; longer words are scored in overlapping parts.
@@ -233,6 +234,13 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
+def without_passages(found: list[tuple]) -> list[tuple[str, int, int]]:
+    """Words with counts and minhashes of the texts that hold them, without those that come together with many others:
+    they belong to a passage that texts share, and their texts are no independent evidence."""
+    together = [Counter(r[3 + k] for r in found) for k in range(COPY_HASHES)]
+    return [r[:3] for r in found if sum(together[k][r[3 + k]] > PASSAGE_WORDS for k in range(COPY_HASHES)) < 2]
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most SAMPLE labelled texts that aren't held out. Labels of other values than 0 and 1, null
     ids and null texts take no part; texts labelled both ways count as often as they are labelled."""
@@ -251,12 +259,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             kept.append((row,))
         seen |= keys
     rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "row long")), "row")
-    by_word = rows.select("toxic", F.explode("words").alias("w")).filter("w <> ''")
-    by_word = by_word.groupBy("w").agg(F.sum("toxic").cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg"))
+    by_word = rows.select("row", "toxic", F.explode("words").alias("w")).filter("w <> ''")
+    where = [F.min(F.xxhash64("row", F.lit(k))).alias(f"at{k}") for k in range(COPY_HASHES)]
+    by_word = by_word.groupBy("w").agg(F.sum("toxic").cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg"), *where)
     # Words of the bounded sample: all that toxic texts repeat, and the most common of the others.
     telling = by_word.filter("pos >= 2 AND pos > neg").orderBy(F.desc("pos"), "neg", "w").limit(20_000)
     common = by_word.filter("neg >= 1 AND pos <= neg").orderBy(F.desc("neg"), F.xxhash64("w"), "w").limit(80_000)
-    stats = [tuple(r) for r in telling.union(common).collect()]
+    stats = [tuple(r[:3]) for r in common.collect()] + without_passages([tuple(r) for r in telling.collect()])
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     return fit(stats, toxic / n if n else 0.5)
 

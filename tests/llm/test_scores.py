@@ -96,3 +96,9 @@ def test_held_out_accuracy(spark):
     caught = sum(r["predicted"] for r in rows if r["toxic"])
     wrong = sum(r["predicted"] for r in rows if not r["toxic"])
     assert caught >= 0.7 * sum(r["toxic"] for r in rows) and wrong <= 0.02 * len(rows)
+
+
+def test_words_of_a_shared_passage_are_no_evidence():
+    passage = [(f"p{i}", 8, 0, 1, 2, 3, 4) for i in range(40)]
+    insults = [(f"i{i}", 90, 0, 1, 100 + i, 200 + i, 300 + i) for i in range(10)]
+    assert [w for w, *_ in X.without_passages(passage + insults)] == [f"i{i}" for i in range(10)]
