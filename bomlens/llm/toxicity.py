@@ -235,10 +235,13 @@ def held_out(doc_id) -> F.Column:
 
 
 def without_passages(found: list[tuple]) -> list[tuple[str, int, int]]:
-    """Words with counts and minhashes of the texts that hold them, without those that come together with many others:
-    they belong to a passage that texts share, and their texts are no independent evidence."""
-    together = [Counter(r[3 + k] for r in found) for k in range(COPY_HASHES)]
-    return [r[:3] for r in found if sum(together[k][r[3 + k]] > PASSAGE_WORDS for k in range(COPY_HASHES)) < 2]
+    """Words with counts and minhashes of the texts that hold them, without those of which many agree in two
+    minhashes: they belong to a passage that texts share, and their texts are no independent evidence."""
+    pairs = list(itertools.combinations(range(3, 3 + COPY_HASHES), 2))
+    size = lambda r: round(math.log2(r[1] + 1))
+    # Spellings of a word count once, and only words of about as many texts.
+    together = [Counter(at for at, _ in {((r[i], r[j], size(r)), plain(r[0])) for r in found}) for i, j in pairs]
+    return [r[:3] for r in found if all(c[r[i], r[j], size(r)] <= PASSAGE_WORDS for c, (i, j) in zip(together, pairs))]
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
