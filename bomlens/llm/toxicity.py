@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,10 @@ from .shared import written
 #: Labelled texts that the model is fitted on at most; those with the smallest hashes of their ids.
 SAMPLE = 12_000
 COPY_HASHES, PASSAGE_WORDS = 4, 16
+#: Near copies agree in more than two thirds of BANDS * BAND minhashes over runs of words.
+SHINGLE, BANDS, BAND = 3, 21, 3
+SALTS, ODD = np.random.default_rng(0).integers(0, 2**64, (2, BANDS * BAND), np.uint64)
+ODD |= np.uint64(1)
 LANDMARKS, NEGATIVES = 160, 4000
 DECAY, SYMBOLS = 0.7, 64
 #: Letters scored at a time; longer words are scored in overlapping parts.
@@ -244,6 +249,41 @@ def without_passages(found: list[tuple]) -> list[tuple[str, int, int]]:
     return [r[:3] for r in found if all(c[r[i], r[j], size(r)] <= PASSAGE_WORDS for c, (i, j) in zip(together, pairs))]
 
 
+def signature(text: str) -> np.ndarray:
+    """Minhashes of a text's runs of SHINGLE words (of all its words if they are fewer), as 32-bit integers."""
+    ws = text.lower().split()
+    hashed = np.array([xxhash.xxh64_intdigest(" ".join(ws[i : i + SHINGLE])) for i in range(max(1, len(ws) - SHINGLE + 1))], np.uint64)
+    least = np.full(len(SALTS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashed), 10_000):
+        least = np.minimum(least, ((hashed[at : at + 10_000, None] ^ SALTS) * ODD).min(axis=0))
+    return (least >> np.uint64(16)).astype("<u4")
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [signature(t).tobytes() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("toxic").cast(pa.int32()), pa.array(found, pa.binary())], names=["row", "toxic", "signature"])
+
+
+def copy_groups(labels: list[int], signatures: np.ndarray) -> list[int]:
+    """For each text the first text of its label that agrees with it in all but BANDS - 1 minhashes at most, or itself.
+
+    Two such texts agree in all of some band, so the index by bands misses none. Only first texts are compared to."""
+    index: dict[tuple, list[int]] = {}
+    out = []
+    for i, (label, s) in enumerate(zip(labels, signatures)):
+        keys = [(label, k, s[k * BAND : (k + 1) * BAND].tobytes()) for k in range(BANDS)]
+        met = np.array(sorted({j for key in keys for j in index.get(key, ())}), np.int64)
+        near = met[(signatures[met] != s).sum(axis=1) < BANDS]
+        if len(near):
+            out.append(int(near[0]))
+            continue
+        out.append(i)
+        for key in keys:
+            index.setdefault(key, []).append(i)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most SAMPLE labelled texts that aren't held out. Labels of other values than 0 and 1, null
     ids and null texts take no part; texts labelled both ways count as often as they are labelled."""
@@ -251,25 +291,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(labels), "doc_id")  # at most SAMPLE rows
     split = F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "toxic", split.alias("words")), "labelled")
-    # Near copies would make all their words look telling: one text stays of those that share a minhash.
-    hashes = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(COPY_HASHES)]
-    seen: set[tuple[int, int]] = set()
-    kept = []
-    for row, *values in sorted(tuple(r) for r in rows.select("row", *hashes).collect()):
-        keys = set(enumerate(values))
-        if not keys & seen:
-            kept.append((row,))
-        seen |= keys
-    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "row long")), "row")
-    by_word = rows.select("row", "toxic", F.explode("words").alias("w")).filter("w <> ''")
-    where = [F.min(F.xxhash64("row", F.lit(k))).alias(f"at{k}") for k in range(COPY_HASHES)]
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "toxic", "text", split.alias("words")), "labelled")
+    # Near copies would make all their words look telling: a word counts once in a group of them.
+    found = sorted(tuple(r) for r in rows.select("row", "toxic", "text").mapInArrow(_signed, "row long, toxic int, signature binary").collect())
+    of = copy_groups([t for _, t, _ in found], np.array([np.frombuffer(x, "<u4") for _, _, x in found]).reshape(-1, BANDS * BAND))
+    groups = [(row, found[g][0]) for (row, _, _), g in zip(found, of)]
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(groups, "row long, copies long")), "row").select("copies", "toxic", "words")
+    by_word = rows.select("copies", "toxic", F.explode("words").alias("w")).filter("w <> ''").distinct()
+    where = [F.min(F.xxhash64("copies", F.lit(k))).alias(f"at{k}") for k in range(COPY_HASHES)]
     by_word = by_word.groupBy("w").agg(F.sum("toxic").cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg"), *where)
     # Words of the bounded sample: all that toxic texts repeat, and the most common of the others.
     telling = by_word.filter("pos >= 2 AND pos > neg").orderBy(F.desc("pos"), "neg", "w").limit(20_000)
     common = by_word.filter("neg >= 1 AND pos <= neg").orderBy(F.desc("neg"), F.xxhash64("w"), "w").limit(80_000)
     stats = [tuple(r[:3]) for r in common.collect()] + without_passages([tuple(r) for r in telling.collect()])
-    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n, toxic = len(set(of)), sum(found[g][1] for g in set(of))
     return fit(stats, toxic / n if n else 0.5)
 
 

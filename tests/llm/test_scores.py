@@ -102,3 +102,27 @@ def test_words_of_a_shared_passage_are_no_evidence():
     passage = [(f"p{i}", 8, 0, 1, 2, 3, 4) for i in range(40)]
     insults = [(f"i{i}", 90, 0, 1, 100 + i % 9, 200 + i, 300 + i) for i in range(30)]
     assert [w for w, *_ in X.without_passages(passage + insults)] == [f"i{i}" for i in range(30)]
+
+
+def test_only_near_copies_count_once():
+    rng = np.random.default_rng(4)
+    text = [f"w{i}" for i in rng.integers(0, 300, 200)]
+    edited = [*text[:100], "insult", *text[100:]]
+    common = [" ".join(f"w{i}" for i in rng.integers(0, 300, 200)) for _ in range(50)]
+    half = " ".join(text[:100]) + " " + " ".join(f"v{i}" for i in range(100))
+    texts = [" ".join(text), " ".join(edited), half, *common, "", "a b", "a b"]
+    of = X.copy_groups([0] * len(texts), np.array([X.signature(t) for t in texts]))
+    assert of == [0, 0, *range(2, 55), 54]
+    assert X.copy_groups([0, 1], np.array([X.signature(t) for t in texts[:2]])) == [0, 1]
+    assert X.copy_groups([], np.zeros((0, X.BANDS * X.BAND))) == []
+
+
+def test_texts_of_common_words_are_all_learnt_from(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(300)]
+    insults = ["zuxqop", "vyrtun", "wozzyp", "quspyt", "nonzov", "ruwwux", "tysnoq", "pyxxor"]
+    prose = lambda: " ".join(rng.choice(vocabulary, 60))
+    ids = [r[0] for r in spark.range(400).filter(~X.held_out(F.col("id"))).collect()]
+    docs = [(i, f"{prose()} {prose()}" if k % 3 else f"{prose()} {insults[k // 3 % 8]} {prose()}", int(k % 3 == 0)) for k, i in enumerate(ids)]
+    model = X.learn(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id long, toxic int"))
+    assert all(model.margins(insults) > 0.3) and all(model.margins(vocabulary) < 0.2)
