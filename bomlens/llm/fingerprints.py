@@ -54,8 +54,6 @@ WIDTH = max(f[3] for f in FILTERS)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Recordings are the same if at the best offset at most this share of bits differs over this share of the shorter one.
 BIT_ERROR, OVERLAP, LEAST = 0.15, 0.5, 8
-#: Words that two recordings have in common before they are aligned.
-SHARED = 2
 
 
 def chroma(samples: np.ndarray, p: Params) -> np.ndarray:
@@ -169,8 +167,8 @@ def matches(rows: DataFrame) -> DataFrame:
     """``rows``: rec (unique long), prints. Returns rec, match, offset, bit_error: for every recording the smallest
     recording that it joins by alignments, and the alignment with the one that it was compared to (nulls for those with no match).
 
-    Equal prints are one class. A word is two integers in a row, which recordings that don't belong together hardly share;
-    the recordings of a word are compared with the first of them, so a list of many copies costs one comparison a copy."""
+    Equal prints are one class. Recordings that ``same`` accepts have an integer in common. Those of an integer are compared with the first
+    of them, so a list of many copies costs one comparison a copy; then all of its pairs whose ends aren't joined yet."""
     spark = rows.sparkSession
     n = shuffle_partitions(spark)
     rows = written(rows.select("rec", "prints", F.sha2("prints", 256).alias("digest")), "prints")
@@ -185,8 +183,7 @@ def matches(rows: DataFrame) -> DataFrame:
         for b in batches:
             recs, words = [], []
             for rec, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                prints = np.frombuffer(data, "<u4").astype(np.uint64)
-                distinct = np.unique(prints[:-1] << np.uint64(32) | prints[1:]).view(np.int64)
+                distinct = np.unique(np.frombuffer(data, "<u4")).astype(np.int64)
                 recs.append(np.full(len(distinct), rec))
                 words.append(distinct)
             if recs:
@@ -196,9 +193,9 @@ def matches(rows: DataFrame) -> DataFrame:
 
     words = reps.mapInArrow(keys, "rec long, word long")
     lists = words.groupBy("word").agg(F.min("rec").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # A frequent word's rows are split by adaptive execution: the other side has one row a word. Pairs share several words before they are aligned.
-    pairs = words.join(lists.select("word", "first"), "word").filter("rec <> first")
-    pairs = written(pairs.groupBy("first", "rec").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= SHARED).select("first", "rec"), "pairs")
+    # A frequent word's rows are split by adaptive execution: the other side has one row a word.
+    words = written(words.join(lists.select("word", "first"), "word"), "words")
+    stars = written(words.filter("rec <> first").select("first", "rec").distinct(), "pairs")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,12 +208,31 @@ def matches(rows: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["first", "rec", "offset", "bit_error"])
 
-    right = pairs.join(reps, "rec").select("first", "rec", F.col("prints").alias("y"))
-    both = right.join(reps.select(F.col("rec").alias("first"), F.col("prints").alias("x")), "first").select("first", "rec", "x", "y")
-    aligned = written(both.mapInArrow(check, "first long, rec long, offset long, bit_error double"), "aligned")
-    joined = components(aligned.select(F.col("first").alias("a"), F.col("rec").alias("b")))
-    best = aligned.groupBy("rec").agg(F.min_by(F.struct("first", "offset", "bit_error"), F.struct("bit_error", "first")).alias("best"))
-    own = reps.select("rec").join(best, "rec", "left").join(joined.withColumnRenamed("node", "rec"), "rec", "left")
+    def compared(pairs: DataFrame) -> DataFrame:
+        right = pairs.join(reps, "rec").select("first", "rec", F.col("prints").alias("y"))
+        both = right.join(reps.select(F.col("rec").alias("first"), F.col("prints").alias("x")), "first").select("first", "rec", "x", "y")
+        return written(both.mapInArrow(check, "first long, rec long, offset long, bit_error double"), "aligned")
+
+    def linked(aligned: DataFrame) -> DataFrame:
+        return components(aligned.select(F.col("first").alias("a"), F.col("rec").alias("b"))).withColumnRenamed("node", "rec")
+
+    near = compared(stars)
+    held = words.join(linked(near), "rec", "left").select("word", "rec", F.coalesce("component", "rec").alias("component"))
+    several = held.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("word")
+    held = written(held.join(several, "word"), "held")
+    # A recording meets the other components of a list, then their recordings: pairs within a component are never made.
+    other = held.select("word", F.col("component").alias("further")).distinct()
+    met = held.join(other, "word").filter("component < further").select("word", "further", F.col("rec").alias("one"))
+    crossed = met.join(held.select("word", F.col("component").alias("further"), F.col("rec").alias("two")), ["word", "further"])
+    crossed = crossed.select(F.least("one", "two").alias("first"), F.greatest("one", "two").alias("rec")).distinct()
+    far = compared(written(crossed.join(stars, ["first", "rec"], "left_anti"), "pairs"))
+    aligned = near.union(far)
+    joined = linked(aligned)
+    # Alignments with smaller recordings come first; the smallest of a component has none.
+    turned = aligned.select(F.col("rec").alias("first"), F.col("first").alias("rec"), (-F.col("offset")).alias("offset"), "bit_error")
+    best = aligned.union(turned).groupBy("rec").agg(F.min_by(F.struct("first", "offset", "bit_error"), F.struct(F.col("first") > F.col("rec"), "bit_error", "first")).alias("best"))
+    best = best.join(joined, "rec").filter("component < rec").select("rec", "best")
+    own = reps.select("rec").join(best, "rec", "left").join(joined, "rec", "left")
     own = own.select(F.col("rec").alias("rep"), F.coalesce("component", "rec").alias("match"), F.col("best.offset").alias("offset"), F.col("best.bit_error").alias("bit_error"))
     salted_own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     of_member = member.select("rec", "rep").withColumn("salt", F.pmod(F.xxhash64("rec"), F.lit(salts)).cast("int")).join(salted_own, ["rep", "salt"])

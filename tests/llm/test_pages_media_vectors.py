@@ -82,6 +82,37 @@ def test_matching_recordings(spark):
     assert P.matches(rows.limit(0)).count() == 0
 
 
+def test_matches_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+
+    def noisy(x, kept):
+        """Two bits of each integer flip, but of the one at ``kept``."""
+        y = x.copy()
+        for i in range(len(x)):
+            if i != kept:
+                y[i] ^= np.uint32(1) << np.uint32(rng.integers(0, 16)) | np.uint32(1) << np.uint32(rng.integers(16, 32))
+        return y
+
+    prints = [new(30)]
+    for i in range(8):
+        song = new(40)
+        prints += [song, noisy(song, i), np.concatenate([new(5), noisy(song, i + 9)])]
+        # The first recording of the list holds what they share, and aligns with none of them.
+        prints[0][[3 * i, 3 * i + 1]] = song[i], song[i + 9]
+    prints += [prints[4].copy(), new(3), new(0)]
+    match = list(range(len(prints)))
+    for a in range(len(prints)):
+        for b in range(a + 1, len(prints)):
+            if len(prints[a]) and (P.same(prints[a], prints[b]) or np.array_equal(prints[a], prints[b])):
+                match = [min(match[a], match[b]) if m in (match[a], match[b]) else m for m in match]
+    assert match[0] == 0 and sum(m < i for i, m in enumerate(match)) == 17
+    got = P.matches(spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in enumerate(prints)], "rec long, prints binary")).collect()
+    assert {r["rec"]: r["match"] for r in got} == dict(enumerate(match))
+    assert all((r["bit_error"] is None) == (r["match"] == r["rec"]) for r in got)
+    assert {r["rec"]: r["offset"] for r in got}[3] == -5
+
+
 def test_recall_and_exact_scores(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 16))
