@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions, tokenizer_path, written
-from .tokens import END_ID, encoder
+from .tokens import encoder
 
 WINDOW = 4096
 #: Tokens and documents of one index. More documents than that start another index of the same partition.
-SHARD_TOKENS, SHARD_DOCS = 6_000_000, 8192
+SHARD_TOKENS, SHARD_DOCS = 3_000_000, 8192
 #: Distinct tokens of the seed with the largest BM25 weights that make up a query.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
@@ -32,12 +32,23 @@ TOKEN_SCHEMA = "doc_id long, near long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def minhash(ids: np.ndarray) -> int:
+def minhashes(ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A minhash over the token pairs of each of the documents, which stand in a row; 0 for those without a pair."""
     a = ids.astype(np.uint64)
     pairs = a[:-1] * np.uint64(0x9E3779B97F4A7C15) + a[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     pairs ^= pairs >> np.uint64(29)
     pairs *= np.uint64(0xBF58476D1CE4E5B9)
-    return int(pairs.min() >> np.uint64(1)) if len(pairs) else 0
+    ends = np.cumsum(lens)
+    pairs = np.append(pairs, np.uint64(0))
+    pairs[ends - 1] = np.iinfo(np.uint64).max  # the pair that the next document's first token would end
+    least = np.minimum.reduceat(pairs, ends - lens) >> np.uint64(1)
+    return np.where(lens > 1, least, 0).astype(np.int64)
+
+
+def binaries(ids: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Each document's ids as little-endian unsigned 16-bit numbers."""
+    offsets = np.concatenate([[0], np.cumsum(lens)]) * 2
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
 
 
 class Index:
@@ -140,11 +151,11 @@ def tokenized(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, spaces=False)
-        end = enc.packed([END_ID])
         for b in batches:
-            ids = [x + end for x in enc.all(b.column(1).to_pylist())]
-            near = [minhash(np.frombuffer(x, np.uint16)) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "near", "ids"])
+            at = 0
+            for ids, lens in enc.ended(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(lens)], pa.array(minhashes(ids, lens)), binaries(ids, lens)], names=["doc_id", "near", "ids"])
+                at += len(lens)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, TOKEN_SCHEMA)
 

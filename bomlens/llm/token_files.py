@@ -11,6 +11,7 @@ lengths), blocks.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import uuid
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_path, shuffle_partitions, tokenizer_path
-from .tokens import END_ID, encoder
+from .tokens import encoder
 
 MAGIC = b"WVM1"
 #: Bits of a plane in one compressed block, and ids of one file.
@@ -165,25 +166,33 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocabulary, spaces=True), TaskContext.get().partitionId()
-        end, names, ids, total, k = enc.packed([END_ID]), [], [], 0, 0
+        names, lens, ids, total, k = [], [], [], 0, 0
         system, path = store(folder)
 
         def close() -> pa.RecordBatch:
             name = f"{path}/part-{part:06d}-{k:06d}.wvm"
-            body = build(np.frombuffer(b"".join(ids), np.uint16), names, [len(x) // 2 for x in ids])
+            body = build(np.concatenate(ids), names, lens)
             with system.open_output_stream(temp := f"{name}.{uuid.uuid4().hex}") as f:
                 f.write(body)
             system.move(temp, name)
             return pa.RecordBatch.from_pydict({"path": [name], "part": pa.array([part], pa.int64()), "k": pa.array([k], pa.int64()), "n_ids": pa.array([total], pa.int64()), "n_bytes": pa.array([len(body)], pa.int64())})
 
         for b in batches:
-            for name, x in zip(b.column(0).to_pylist(), enc.all(b.column(1).to_pylist())):
-                names.append(name)
-                ids.append(x + end)
-                total += len(ids[-1]) // 2
-                if total >= FILE_IDS:
-                    yield close()
-                    names, ids, total, k = [], [], 0, k + 1
+            of = iter(b.column(0).to_pylist())
+            for found, n in enc.ended(b.column(1)):
+                upto = np.cumsum(n)
+                i = 0
+                while i < len(n):  # a file is closed with the document that fills it
+                    before = int(upto[i - 1]) if i else 0
+                    j = min(len(n), int(np.searchsorted(upto, before + FILE_IDS - total)) + 1)
+                    names += itertools.islice(of, j - i)
+                    lens += n[i:j].tolist()
+                    ids.append(found[before : upto[j - 1]])
+                    total += len(ids[-1])
+                    i = j
+                    if total >= FILE_IDS:
+                        yield close()
+                        names, lens, ids, total, k = [], [], [], 0, k + 1
         if names:
             yield close()
 

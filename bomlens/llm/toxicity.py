@@ -215,13 +215,14 @@ def fit(stats: list[tuple[str, int, int]], base_rate: float) -> Model:
     return Model(explicit, bias)
 
 
-_cache: dict[int, dict[str, float]] = {}
+_cache: dict[int, dict[str, float]] = {}  # of one model: a worker's older ones go
 
 
 def probabilities(model: Model, key: int, texts: list[str | None]) -> np.ndarray:
-    cache = _cache.setdefault(key, {})
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
+    if key not in _cache or len(_cache[key]) > CACHE_WORDS:
+        _cache.clear()
+        _cache[key] = {}
+    cache = _cache[key]
     sets = [words(t or "") for t in texts]
     new = list(set().union(*sets) - cache.keys())
     for at in range(0, len(new), 20_000):
@@ -326,6 +327,7 @@ def score(docs: DataFrame, model: Model, *, keep_text: bool = True) -> DataFrame
                     some, chars = [], 0
             got.append(probabilities(shared.value, key, some))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(np.concatenate(got))], names=[*(b.schema.names[c] for c in kept), "score"])
+        _cache.clear()  # the worker may serve other stages next
 
     kept = [i for i, c in enumerate(docs.columns) if keep_text or c != "text"]
     fields = ", ".join(f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in kept)

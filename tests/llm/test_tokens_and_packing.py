@@ -3,29 +3,44 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from bomlens.llm import packing, token_files
+from tokenizers import Tokenizer
+
+from bomlens.llm import packing, token_files, tokens
 from bomlens.llm.shared import shared_path, tokenizer_path
 from bomlens.llm.tokens import Encoder
 
 WORD, BYTE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
 _enc = {False: Encoder(WORD, False), True: Encoder(BYTE, True)}
+#: The files as they are, without any flag.
+_plain = {False: Tokenizer.from_file(WORD), True: Tokenizer.from_file(BYTE)}
+ODD = ["a", "b", "'", "s", "Z", "é", "e\u0301", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x00", "1", ".", "İ", "Σ", "ß", "ﬁ", "日", "—", "\u00a0", "\u2003", "\u3000", "😀", "'S", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " <|endoftext|> "]
 
 
 @pytest.mark.parametrize("spaces", [False, True])
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab'sZé́ \n\t \x1c1.İΣßﬁ日—"), max_size=40))
-def test_pieces_give_the_ids_of_the_whole_text(spaces, text):
-    e = _enc[spaces]
-    assert e.batch([text])[0] == e.packed(e.tok.encode(text, add_special_tokens=False).ids)
+@given(st.lists(st.lists(st.sampled_from(ODD), max_size=30).map("".join), max_size=5))
+def test_ids_are_those_of_whole_texts(spaces, texts):
+    got = [x.tolist() for ids, n in _enc[spaces].all(pa.array(texts, pa.string())) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [_plain[spaces].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("spaces", [False, True])
+def test_small_batches_and_caches_change_nothing(spaces, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["foo", "Bar", "é,", "<|endoftext|>", "x" * 300, "qu'on", "\n"], int(rng.integers(0, 60)))) for _ in range(200)]
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 500)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 5)
+    got = [x.tolist() for ids, n in Encoder(WORD if not spaces else BYTE, spaces).ended(pa.array(texts)[3:]) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [[*_plain[spaces].encode(t, add_special_tokens=False).ids, 2] for t in texts[3:]]
 
 
 def whole(text, spaces):
-    e = _enc[spaces]
-    return np.array([*e.tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+    return np.array([*_plain[spaces].encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
 def test_packing_covers_every_id_once(spark, odd):
