@@ -36,7 +36,8 @@ def permuted(x: Column, n: Column, *tweak: Column) -> Column:
 
 def source_targets(rows: DataFrame, weights: tuple[float, ...], factor: float, most: float) -> DataFrame:
     """One row per source: its size and target. Targets are in proportion to the weights, which repeat over
-    the sources by code point with null last; none exceeds ``most`` times its source's size."""
+    the sources by code point with null last; none exceeds ``most`` times its source's size. Sources are a mix's
+    few parts: their table is sorted in one task, so there should be no more than some millions."""
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(order - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -52,7 +53,7 @@ def source_targets(rows: DataFrame, weights: tuple[float, ...], factor: float, m
 
 
 def mix(rows: DataFrame, *, block: int = 256, shard_blocks: int = 4096, weights: tuple[float, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0, seed: int = 20) -> tuple[DataFrame, DataFrame]:
-    """``rows``: a written table with row_id (unique), source, size. Returns the sources with their targets
+    """``rows``: a written table with row_id (unique, and the same for the same row in any run), source, size. Returns the sources with their targets
     and the pieces of the mix: row_id, epoch, shard, slot, word_start, n_words (a document's words
     from word_start on, in this slot). A source's pieces hold floor(target) words. Rows of size 0 (empty or
     null text) give no piece; a null source is a source; without rows there are no pieces. ``block`` and
@@ -91,16 +92,31 @@ def mix(rows: DataFrame, *, block: int = 256, shard_blocks: int = 4096, weights:
     slots = slots.withColumn("block", F.when(F.col("at") < F.col("n_full"), permuted(F.col("at"), F.greatest("n_full", F.lit(1)), F.col("epoch"), F.col("source"), F.lit(seed + 3))).otherwise(F.col("at")))
     slots = slots.withColumn("end", F.col("block") * block + F.least(F.lit(block), F.expr(f"want - epoch * source_size - at * {block}")))
 
-    both = pieces.join(slots, same(pieces, slots) & (pieces["block"] == slots["block"]))
+    # Both sides grow with the corpus, whatever their size looks like before the rows multiply.
+    both = pieces.join(slots.hint("merge"), same(pieces, slots) & (pieces["block"] == slots["block"]))
     low, high = F.greatest("start", pieces["block"] * block), F.least(F.col("start") + F.col("size"), (pieces["block"] + 1) * block, F.col("end"))
     both = both.select("row_id", "epoch", "shard", "slot", (low - F.col("start")).alias("word_start"), (high - low).alias("n_words")).filter("n_words > 0")
     return sources, both
 
 
+def numbered(counted: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``counted``: rows with ``n``. Each row n times, with ``copy`` from 0: equal rows can't be told apart, so
+    giving them numbers by their count needs no order, and a row with a huge count is made in many tasks."""
+    spark = counted.sparkSession
+    runs = counted.withColumn("__run", F.explode(F.expr(f"sequence(0L, (n - 1) div {chunk})")))
+    few = runs.filter(f"n <= {chunk}")
+    many = runs.filter(f"n > {chunk}").repartition(shuffle_partitions(spark))
+    return few.union(many).withColumn("copy", F.explode(F.expr(f"sequence(__run * {chunk}, least(n, (__run + 1) * {chunk}) - 1)"))).drop("__run", "n")
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes. Rows with the same id, source and size are told apart by a number
+    alone, so the draws don't depend on how the table is split. A null id is an id; a null or empty text has size 0
+    and is never taken; other columns are ignored; no rows give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-rows")
+    counted = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    rows = numbered(counted).withColumn("row_id", F.struct("doc_id", "source", "size", "copy"))
+    rows = written(rows.select("row_id", "doc_id", "source", "size"), "mix-rows")
     sources, pieces = mix(rows)
     taken = pieces.groupBy("row_id").agg(F.sum("n_words").alias("taken"))
     sources = sources.select("source", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt"))

@@ -79,6 +79,22 @@ def test_pieces_tile_each_pass(spark):
         assert at <= size[row]
 
 
+def test_the_mix_does_not_depend_on_the_split(spark, tmp_path):
+    rows = [(i % 50 if i % 7 else None, "w " * (i % 23), "ab"[i % 2] if i % 5 else None) for i in range(400)] + [(3, "x y", "a")] * 40
+    got = []
+    for k in (1, 9):
+        folder = str(tmp_path / str(k))
+        spark.createDataFrame(rows, "doc_id long, text string, source string").orderBy(F.rand(k)).repartition(k).write.parquet(f"{folder}/documents.parquet")
+        got.append(sorted(map(str, mixing.op8_mixing(spark, folder).collect())))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
+def test_numbered_rows(spark):
+    df = spark.createDataFrame([("a", 1), (None, 25), ("b", 10)], "x string, n long")
+    got = sorted((str(r["x"]), r["copy"]) for r in mixing.numbered(df, 10).collect())
+    assert got == sorted([("a", 0), *((str(None), i) for i in range(25)), *(("b", i) for i in range(10))])
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5))).collect()]
