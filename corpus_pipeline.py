@@ -23,25 +23,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that similar word shingles link; one row of a repeated id.
-    Documents without an id or without words are in no group and stay."""
-    groups = written(ngram_join.join(docs), "groups")
+    """The document with the smallest id of each group that similar word shingles link. Of rows that repeat an id, one of
+    each text stays. Documents without an id or without words are in no group and stay."""
+    keyed = written(docs.withColumn("__key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), "keyed")
+    groups = written(ngram_join.join(keyed.select(F.col("doc_id"), "text")), "groups")
     kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = written(kept, "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if kept.filter("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id IS NULL"))
+    out = keyed.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    # Rows that repeat an id share its component: equal texts are one document, different ones all stay.
+    again = keyed.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "__key"])
+    return out.union(again).unionByName(keyed.filter("doc_id IS NULL")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them. A pass over a source that takes a part of a document gives the
-    words it takes; n_chars follows the text. Documents without words are never taken."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    sized = written(rows.select(F.col("__row").alias("row_id"), "source", mixing.word_count(F.col("text")).alias("size")), "mix-rows")
+    words it takes; n_chars follows the text. Documents without words are never taken. Rows are known by what they hold, so the
+    same rows give the same mix however they are split."""
+    content = F.to_json(F.struct(*docs.columns))
+    keyed = written(docs.withColumn("__row", F.struct(F.xxhash64(content).alias("a"), F.xxhash64(F.lit(1), content).alias("b"))), "mix-documents")
+    counted = written(keyed.select("__row", "source", mixing.word_count(F.col("text")).alias("size")).groupBy("__row", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    # Equal rows are one text that stands for all of them; they are numbered by their count.
+    sized = written(mixing.numbered(counted).select(F.struct("__row.a", "__row.b", "copy").alias("row_id"), "__row", "source", "size"), "mix-rows")
+    again = counted.filter("n > 1").select("__row")
+    rows = keyed.join(again, "__row", "left_anti").union(keyed.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
     _, pieces = mixing.mix(sized)
     takes = pieces.groupBy("row_id", "epoch").agg(F.sum("n_words").alias("__taken"), F.array_sort(F.collect_list(F.struct("word_start", "n_words"))).alias("__parts"))
-    takes = takes.join(sized.select("row_id", "size"), "row_id").select(F.col("row_id").alias("__row"), "__parts", (F.col("__taken") == F.col("size")).alias("__whole"))
+    takes = takes.join(sized.select("row_id", "__row", "size"), "row_id").select("__row", "__parts", (F.col("__taken") == F.col("size")).alias("__whole"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["word_start"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
     out = rows.join(takes, "__row").withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(some))
