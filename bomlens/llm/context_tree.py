@@ -2,12 +2,12 @@
 
 A byte is eight binary choices. For each choice every context, the last 0 to DEPTH bytes, has a Krichevsky-Trofimov
 estimate; a node of the tree weighs its own estimate against the product of its children's, half and half, over all training
-text. Contexts that hold less than one part in 2 ** KEEP of all training bytes are not split off: what they saw stays in their
-parent's rest, a leaf of its own. So there are at most DEPTH * 2 ** KEEP + 1 contexts at any size of the corpus, and the fitted table,
-one row of code lengths for each, has a fixed bound. Counts cover all training text.
+text. All contexts of all training text are kept, however rare, in shards by their nearest SPLIT bytes, so the tree grows with the
+corpus and no task holds more than a shard of it. Only the tree's top, nodes of less than SPLIT bytes, is put together on the
+driver: at most 256 ** (SPLIT - 1) contexts at any size of the corpus (some thousands in real text).
 
-Word counts are exact. Each chunk of documents asks the shards of the vocabulary for the counts of its distinct words, so a
-frequent word is sent once for a chunk.
+Chunks of documents send their distinct byte strings (context and next byte) with training counts to the shards and get a code
+length for each. They ask for the counts of their distinct words in the same way, so a frequent word is sent once for a chunk.
 """
 
 from __future__ import annotations
@@ -24,13 +24,16 @@ from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions, written
 
-DEPTH, KEEP = 6, 16
+DEPTH, SPLIT = 6, 3
 #: The end of a text; UTF-8 has no such byte. Before a text stand zero bytes.
 END = 0xFF
-#: Bytes of text that are counted or scored at once, and of a chunk of documents.
+#: Bytes of text that are sorted or looked up at once, and of a chunk of documents.
 PIECE, CHUNK = 2_000_000, 12_000_000
 
-_GROUP = "kind int, chunk long, bucket long, data binary"
+_ROWS = "kind int, chunk long, bucket long, data binary, body binary, weighted double, zeros long, ones long"
+#: Kinds of rows: a chunk's words, its byte strings, its documents, counts of its words, sizes of a task's vocabulary, nodes of
+#: SPLIT - 1 bytes, a shard with its askers, code lengths for a chunk.
+WORDS, STRINGS, DOCS, COUNTS, SIZES, NODES, SHARD, LENGTHS = range(1, 9)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -46,27 +49,44 @@ def _open(blob) -> bytes:
     return zstandard.ZstdDecompressor().decompress(bytes(blob))
 
 
-def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in a row, each after DEPTH zeros and with END; the places of the bytes that are coded."""
-    pad = b"\0" * DEPTH
-    raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\xff")), np.uint8)
-    lens = np.array([len(t) + 1 + DEPTH for t in texts], np.int64)
-    coded = np.ones(len(raw), bool)
-    first = np.cumsum(lens) - lens
-    for d in range(DEPTH):
-        coded[first + d] = False
-    return raw, np.flatnonzero(coded)
+def _planes(a: np.ndarray) -> np.ndarray:
+    """64-bit numbers by bytes of equal weight, which compress well."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _numbers(raw: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel()
+
+
+def _rising(a: np.ndarray) -> np.ndarray:
+    """Rising numbers by their steps."""
+    return _planes(np.diff(a.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def _risen(raw: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.cumsum(_numbers(raw, n, at), dtype=np.uint64)
+
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of kind, chunk, bucket, data and, for documents, body."""
+    cols = list(zip(*[(*r, None)[:5] for r in rows]))
+    none = [pa.nulls(len(rows), t) for t in (pa.float64(), pa.int64(), pa.int64())]
+    arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))] + none
+    return pa.RecordBatch.from_arrays(arrays, names=["kind", "chunk", "bucket", "data", "body", "weighted", "zeros", "ones"])
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and counts: context bytes, farthest first, and the coded byte."""
-    raw, at = stream(texts)
+
+def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each coded byte, its context from the nearest byte on and then the byte itself, for texts in a row,
+    each after DEPTH zeros and with END; and where each text begins."""
+    pad = b"\0" * DEPTH
+    raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\xff")), np.uint8)
+    lens = np.array([len(t) + 1 for t in texts], np.int64)
+    begin = np.cumsum(lens) - lens
+    at = np.arange(lens.sum()) + np.repeat(DEPTH * np.arange(1, len(texts) + 1), lens)
     key = np.zeros(len(at), np.uint64)
-    for d in range(DEPTH, -1, -1):
+    for d in range(1, DEPTH + 1):
         key = (key << np.uint64(8)) | raw[at - d]
-    key.sort()
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.diff([*first, len(key)]).astype(np.int64)
+    return (key << np.uint64(8)) | raw[at], begin
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,69 +96,15 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
-
-
-def count_contexts(train: DataFrame, total: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth the kept contexts (sorted) and their next bytes' counts, from all training texts."""
-    n = shuffle_partitions(train.sparkSession)
-    least = max(1, total >> KEEP)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        some, size = [], 0
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers and how often each stands there; ``keys`` is sorted in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys)).astype(np.int64)
 
-        def add() -> None:
-            nonlocal keys, counts
-            k, c = grams(some)
-            keys, counts = summed(np.concatenate([keys, k]), np.concatenate([counts, c]))
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                some.append(b" ".join(words(t)))
-                size += len(some[-1])
-                if size >= PIECE:
-                    add()
-                    some, size = [], 0
-        if some:
-            add()
-        for depth in range(DEPTH + 1):
-            mask = np.uint64((1 << 8 * (depth + 1)) - 1)
-            k, c = summed((keys & mask) | np.uint64(depth << 56), counts)
-            where = _bucket(k >> np.uint64(8), n)
-            order = np.argsort(where, kind="stable")
-            k, c, where = k[order], c[order], where[order]
-            names, first = np.unique(where, return_index=True)
-            for name, s, e in zip(names.tolist(), first, [*first[1:], len(k)]):
-                yield pa.RecordBatch.from_pydict({"kind": pa.array([0], pa.int32()), "chunk": pa.array([int(e - s)], pa.int64()), "bucket": pa.array([name], pa.int64()), "data": pa.array([_squeeze(k[s:e], c[s:e])], pa.binary())})
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(x := _open(d), k) for b in batches for d, k in zip(b.column(3).to_pylist(), b.column(1).to_pylist())]
-        if not got:
-            return
-        keys, counts = summed(np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in got]), np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in got]))
-        contexts = keys >> np.uint64(8)
-        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
-        seen = np.repeat(np.add.reduceat(counts, first), np.diff([*first, len(keys)]))
-        keep = (seen >= least) | (keys >> np.uint64(56) == 0)
-        keys, counts = keys[keep], counts[keep]
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([0], pa.int32()), "chunk": pa.array([len(keys)], pa.int64()), "bucket": pa.array([0], pa.int64()), "data": pa.array([_squeeze(keys, counts)], pa.binary())})
-
-    rows = train.select("text").mapInArrow(count, _GROUP).repartition(n, "bucket").mapInArrow(add_up, _GROUP).collect()  # at most DEPTH * 2 ** KEEP + 1 contexts
-    raw = [(_open(r["data"]), r["chunk"]) for r in rows]
-    keys, counts = summed(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64, k) for x, k in raw)]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64, k, 8 * k) for x, k in raw)]))
-    out = []
-    for depth in range(DEPTH + 1):
-        own = keys >> np.uint64(56) == depth
-        k, c = keys[own] & np.uint64((1 << 56) - 1), counts[own]
-        contexts, row = np.unique(k >> np.uint64(8), return_inverse=True)
-        if depth == 0 and not len(contexts):
-            contexts = np.zeros(1, np.uint64)
-        table = np.zeros((len(contexts), 256), np.int64)
-        table[row, (k & np.uint64(255)).astype(np.int64)] = c
-        out.append((contexts, table))
-    return out
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -150,185 +116,300 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(low)
 
 
+_SMALL = 1 << 14
+_GAMMA = {shift: log_gamma(np.arange(_SMALL) + shift) for shift in (0.5, 1.0)}
+
+
+def _log_gamma(n: np.ndarray, shift: float) -> np.ndarray:
+    """log_gamma(n + shift) of whole numbers, small ones from a table."""
+    out = _GAMMA[shift][np.minimum(n, _SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= _SMALL)
+    out[large] = log_gamma(n[large] + shift)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The Krichevsky-Trofimov estimate of a sequence with these numbers of zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - 1.1447298858494002
-
-
-class Tree:
-    """Contexts by depth, and for each the log10 probability of every next byte if no longer context is kept."""
-
-    def __init__(self, contexts: list[np.ndarray], logs: np.ndarray):
-        self.contexts, self.logs = contexts, logs
-        self._next: list[np.ndarray] | None = None
-
-    @classmethod
-    def fit(cls, counted: list[tuple[np.ndarray, np.ndarray]]) -> "Tree":
-        contexts = [c for c, _ in counted]
-        parent = [np.zeros(0, np.int64)] + [np.searchsorted(contexts[d - 1], contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1)) for d in range(1, DEPTH + 1)]
-        tables = [t.astype(np.float64) for _, t in counted]
-        logs = [np.zeros((len(c), 256), np.float64) for c in contexts]
-        for bit in range(8):
-            halves = [t.reshape(len(t), 2 << bit, 128 >> bit).sum(2) for t in tables]
-            zeros, ones = [h[:, 0::2] for h in halves], [h[:, 1::2] for h in halves]
-            weights: list = [None] * (DEPTH + 1)
-            rests: list = [None] * (DEPTH + 1)
-            below = log_kt(zeros[DEPTH], ones[DEPTH])
-            weights[DEPTH] = np.ones_like(below)
-            for d in range(DEPTH - 1, -1, -1):
-                own = log_kt(zeros[d], ones[d])
-                rest0, rest1 = zeros[d].copy(), ones[d].copy()
-                split = np.zeros_like(own)
-                np.subtract.at(rest0, parent[d + 1], zeros[d + 1])
-                np.subtract.at(rest1, parent[d + 1], ones[d + 1])
-                np.add.at(split, parent[d + 1], below)
-                split += log_kt(rest0, rest1)
-                both = np.logaddexp(own, split) + np.log(0.5)
-                weights[d], rests[d], below = np.exp(own + np.log(0.5) - both), (rest1 + 0.5) / (rest0 + rest1 + 1), both
-            done, left = np.zeros_like(weights[0]), np.ones_like(weights[0])
-            for d in range(DEPTH + 1):
-                if d:
-                    done, left = done[parent[d]], left[parent[d]]
-                done = done + left * weights[d] * (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-                left = left * (1 - weights[d])
-                p = done + left * rests[d] if d < DEPTH else done
-                both = np.stack([1 - p, p], 2).reshape(len(p), 2 << bit)
-                logs[d] += np.repeat(np.log10(both), 128 >> bit, axis=1)
-        return cls(contexts, np.concatenate(logs).astype(np.float32))
-
-    def steps(self) -> list[np.ndarray]:
-        """For each depth the next longer context's row by the byte before it; the last row means none."""
-        if self._next is None:
-            self._next = []
-            for d in range(DEPTH):
-                table = np.full((len(self.contexts[d]) + 1, 256), len(self.contexts[d + 1]), np.int32)
-                if len(self.contexts[d + 1]):
-                    c = self.contexts[d + 1]
-                    table[np.searchsorted(self.contexts[d], c & np.uint64((1 << 8 * d) - 1)), (c >> np.uint64(8 * d)).astype(np.int64)] = np.arange(len(c))
-                self._next.append(table.ravel())
-        return self._next
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        if not texts:
-            return np.zeros(0)
-        raw, at = stream(texts)
-        row, now, base = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32), 0
-        for d, table in enumerate(self.steps()):
-            base += len(self.contexts[d])
-            now = table[(now << 8) | raw[at - d - 1]]
-            row = np.where(now < len(self.contexts[d + 1]), base + now, row)
-        got = self.logs.ravel()[(row.astype(np.int64) << 8) | raw[at]].astype(np.float64)
-        lens = np.array([len(t) + 1 for t in texts])
-        return np.add.reduceat(got, np.cumsum(lens) - lens)
+    return _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5) - _log_gamma(zeros + ones, 1.0) - 1.1447298858494002
+
+
+def halved(own: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted estimate of nodes, half their own and half their children's, and the own one's share of it."""
+    both = np.logaddexp(own, split) + np.log(0.5)
+    return both, np.exp(own + np.log(0.5) - both)
+
+
+class Subtree:
+    """The nodes of ``low`` to DEPTH bytes over sorted distinct byte strings; strings that are only asked for count 0,
+    which leaves every estimate as it is."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int = SPLIT):
+        self.keys, self.counts, self.parent = {DEPTH: keys}, {DEPTH: counts.astype(np.float64)}, {}
+        self.low = low
+        for d in range(DEPTH, low, -1):
+            k = self.keys[d]
+            self.keys[d - 1], self.parent[d] = np.unique((k >> np.uint64(16) << np.uint64(8)) | (k & np.uint64(255)), return_inverse=True)
+            self.counts[d - 1] = np.bincount(self.parent[d], self.counts[d], len(self.keys[d - 1]))
+
+    def weigh(self, bit: int) -> None:
+        """Nodes of the choice number ``bit`` of a byte, from the longest contexts up."""
+        self.first, self.node, self.zeros, self.ones, self.share = {}, {}, {}, {}, {}
+        for d in range(DEPTH, self.low - 1, -1):
+            k = self.keys[d]
+            g = k >> np.uint64(8 - bit)
+            new = np.concatenate([[True], g[1:] != g[:-1]])
+            first, one = np.flatnonzero(new), (k >> np.uint64(7 - bit)) & np.uint64(1)
+            self.first[d], self.node[d] = first, np.cumsum(new) - 1
+            self.ones[d] = np.add.reduceat(self.counts[d] * one, first)
+            self.zeros[d] = np.add.reduceat(self.counts[d], first) - self.ones[d]
+            own = log_kt(self.zeros[d], self.ones[d])
+            if d == DEPTH:
+                self.weighted, self.share[d] = own, np.ones_like(own)
+            else:
+                self.weighted, self.share[d] = halved(own, np.bincount(self._above(d + 1), self.weighted, len(first)))
+
+    def _above(self, d: int) -> np.ndarray:
+        """The node of one byte less for each node of ``d`` bytes."""
+        return self.node[d - 1][self.parent[d][self.first[d]]]
+
+    def prefix(self, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """For nodes of ``low`` bytes: the context of one byte less, and the choices before as a number with a leading one."""
+        k = self.keys[self.low][self.first[self.low]]
+        return (k >> np.uint64(16)).astype(np.int64), (1 << bit | (k & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int64)
+
+    def chances(self, bit: int, done: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log10 probability of each string's choice; ``done`` and ``left`` are what shorter contexts say about a one and the weight
+        that they leave, by nodes of ``low`` bytes."""
+        for d in range(self.low, DEPTH + 1):
+            if d > self.low:
+                done, left = done[self._above(d)], left[self._above(d)]
+            done = done + left * self.share[d] * (self.ones[d] + 0.5) / (self.zeros[d] + self.ones[d] + 1)
+            left = left * (1 - self.share[d])
+        p = done[self.node[DEPTH]]
+        return np.log10(np.where((self.keys[DEPTH] >> np.uint64(7 - bit)) & np.uint64(1) == 1, p, 1 - p))
+
+
+class Top:
+    """Nodes of less than SPLIT bytes: what they say about a one, and the weight that they leave to longer contexts."""
+
+    def __init__(self, context: np.ndarray, prefix: np.ndarray, weighted: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        """One entry for each node of SPLIT - 1 bytes: context (nearest byte first), choices before, and its children's sums."""
+        code = (context << 8 | prefix).astype(np.int64)
+        order = np.argsort(code)
+        code, split, zeros, ones = code[order], weighted[order], zeros[order].astype(np.float64), ones[order].astype(np.float64)
+        self.code, steps = code, []
+        for d in range(SPLIT - 1, -1, -1):
+            both, share = halved(log_kt(zeros, ones), split)
+            one = (ones + 0.5) / (zeros + ones + 1)
+            if d:
+                code, up = np.unique((code >> 16 << 8) | (code & 255), return_inverse=True)
+                zeros, ones, split = (np.bincount(up, x, len(code)) for x in (zeros, ones, both))
+            else:
+                up = np.arange(len(code))
+            steps.append((share, one, up))
+        self.done, self.left = np.zeros(len(code)), np.ones(len(code))
+        for share, one, up in reversed(steps):  # from the empty context to nodes of SPLIT - 1 bytes
+            done, left = self.done[up], self.left[up]
+            self.done, self.left = done + left * share * one, left * (1 - share)
+
+    def at(self, context: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.searchsorted(self.code, context << 8 | prefix)
+        return self.done[i], self.left[i]
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in runs of about PIECE bytes, with the number of texts before each."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= PIECE:
+            yield begin, texts[begin : i + 1]
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
+def own_strings(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct byte strings of the texts, sorted, and how often each stands in those that aren't held out."""
+    found = []
+    for flag in (False, True):
+        for _, some in pieces([t for t, h in zip(texts, held) if bool(h) == flag]):
+            keys, counts = counted(strings(some)[0])
+            found.append((keys, counts * (not flag)))
+    return summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+
+
+def code_lengths(texts: list[bytes], keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log10 probability of each text with its end, from those of its byte strings."""
+    out = np.zeros(len(texts))
+    for begin, some in pieces(texts):
+        own, first = strings(some)
+        order = np.argsort(own)
+        value = np.empty(len(own))
+        value[order] = logs[np.searchsorted(keys, own[order])]
+        out[begin : begin + len(some)] = np.add.reduceat(value, first)
+    return out
+
+
+def _parted(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """The rows of each bucket, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    names, first = np.unique(bucket[order], return_index=True)
+    columns = [c[order] for c in columns]
+    for name, s, e in zip(names.tolist(), first, [*first[1:], len(order)]):
+        yield (name, *(c[s:e] for c in columns))
 
 
 def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The model learns from
-    rows where ``held_out`` is false; a null id counts as a training row. A null or empty text is its end
-    alone; repeated rows count and are scored each; other columns are ignored; no rows give no rows. The score is of the text's words, lower-cased and
-    with one space between them."""
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. The model learns
+    from rows where ``held_out`` is false; a null id counts as a training row. A null or empty text is its end
+    alone; repeated rows count and are scored each; other columns are ignored; no rows give no rows. ``score`` is of the whole
+    text with A-Z lower-cased, and its end; ``bits_per_byte`` is its code length over its bytes and the end."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    train = docs.filter("NOT held_out")
-    total = train.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
-    tree = spark.sparkContext.broadcast(Tree.fit(count_contexts(train, total)))
     n = shuffle_partitions(spark)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 1: a chunk's distinct words' hashes and training counts by bucket; kind 2: its documents."""
         part, k = TaskContext.get().partitionId(), 0
-        ids, held, lens, sizes, scores, flat, names = [], [], [], 0, [], [], {}
-        some: list[bytes] = []
+        ids, held, texts, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal k
+            chunk, names, counts = part << 20 | k, {}, []
+            for i, t in enumerate(texts):
+                ws = t.split()
+                flat = np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int64, len(ws))
+                if not held[i]:
+                    counts.append(flat)
             hashes = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)
-            where = _bucket(hashes, n)
-            order = np.argsort(where, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            tokens = place[np.concatenate(flat)] if flat else np.zeros(0, np.int64)
-            learnt = np.repeat(~np.array(held, bool), lens)
-            counts = np.bincount(tokens[learnt], minlength=len(order)).astype(np.int64)
-            hashes, where, chunk = hashes[order], where[order], part << 20 | k
-            buckets, first = np.unique(where, return_index=True)
-            rows = [(1, chunk, int(b), _squeeze(hashes[s:e], counts[s:e])) for b, s, e in zip(buckets, first, [*first[1:], len(order)])]
+            seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *counts]), minlength=len(hashes)).astype(np.int64)
+            rows = []
+            for where, h, c in _parted(_bucket(hashes, n), hashes, seen):
+                rows.append((WORDS, chunk, where, _squeeze(h, c)))
+            keys, seen = own_strings(texts, held)
+            for where, x, c in _parted(_bucket(keys >> np.uint64(8 * (DEPTH - SPLIT + 1)), n), keys, seen):
+                rows.append((STRINGS, chunk, where, _squeeze(np.array([len(x)], np.int64), _rising(x), _planes(c))))
+            head = np.array([len(ids)], np.int64)
+            lens = np.array([len(t) for t in texts], np.int64)
             null = np.array([d is None for d in ids], np.uint8)
-            head = np.array([len(ids), len(order), len(tokens)], np.int64)
-            body = _squeeze(head, np.array([d or 0 for d in ids], np.int64), np.array(lens, np.int64), np.concatenate(scores), null, np.array(held, np.uint8), tokens.astype(np.uint32))
-            rows.append((2, chunk, part % n, body))
+            rows.append((DOCS, chunk, 0, None, _squeeze(head, np.array([d or 0 for d in ids], np.int64), lens, null, np.array(held, np.uint8), np.frombuffer(b"".join(texts), np.uint8))))
             k += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "chunk", "bucket", "data"])
+            for i in range(0, len(rows), 64):
+                yield _batch(rows[i : i + 64])
 
-        def rate() -> None:
-            scores.append(tree.value.score(some))
-            some.clear()
-
-        rated = 0
         for b in batches:
             for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ws = words(t)
                 ids.append(i)
                 held.append(h)
-                lens.append(len(ws))
-                flat.append(np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int64, len(ws)))
-                some.append(b" ".join(ws))
-                rated += len(some[-1]) + 1
-                sizes += len(some[-1]) + 1
-                if rated >= PIECE:
-                    rate()
-                    rated = 0
-                if sizes >= CHUNK:
-                    rate()
+                texts.append(t.encode().lower() if t else b"")
+                size += len(texts[-1]) + 1
+                if size >= CHUNK:
                     yield from flush()
-                    ids, held, lens, sizes, scores, flat, names, rated = [], [], [], 0, [], [], {}, 0
+                    ids, held, texts, size = [], [], [], 0
         if ids:
-            rate()
             yield from flush()
 
-    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 3: the counts a chunk asked for; kind 4: how many words and tokens a task holds; kind 2 passes."""
-        asked = []
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "chunk", "bucket", "data"])
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, met = [], []
         for b in batches:
-            for kind, chunk, bucket, data in zip(*(c.to_pylist() for c in b.columns)):
-                if kind == 2:
-                    yield out([(2, chunk, bucket, data)])
-                else:
-                    x = _open(data)
+            for kind, chunk, bucket, data in zip(*(b.column(c).to_pylist() for c in ("kind", "chunk", "bucket", "data"))):
+                x = _open(data)
+                if kind == WORDS:
                     asked.append((chunk, bucket, np.frombuffer(x, np.uint64, len(x) // 16), np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2)))
+                else:
+                    m = int(np.frombuffer(x, np.int64, 1)[0])
+                    met.append((chunk, _risen(x, m, 8), _numbers(x, m, 8 + 8 * m).astype(np.int64)))
         if asked:
             known, counts = summed(np.concatenate([a[2] for a in asked]), np.concatenate([a[3] for a in asked]))
             for chunk, bucket, hashes, _ in asked:
-                yield out([(3, chunk, bucket, _squeeze(counts[np.searchsorted(known, hashes)]))])
-            yield out([(4, int((counts > 0).sum()), int(counts.sum()), b"")])
-
-    table = written(docs.mapInArrow(chunks, _GROUP).repartition(n, "bucket").mapInArrow(answers, _GROUP), "counts")
-    distinct, seen = table.filter("kind = 4").agg(F.coalesce(F.sum("chunk"), F.lit(0)), F.coalesce(F.sum("bucket"), F.lit(0))).first()
-    ends = train.count()
+                yield _batch([(COUNTS, chunk, bucket, _squeeze(counts[np.searchsorted(known, hashes)]))])
+            yield _batch([(SIZES, int((counts > 0).sum()), int(counts.sum()), b"")])
+        if met:
+            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for i in range(0, len(met), 8):
+                keys, counts = summed(np.concatenate([keys, *(x[1] for x in met[i : i + 8])]), np.concatenate([counts, *(x[2] for x in met[i : i + 8])]))
+            places = [_rising(np.searchsorted(keys, x[1])) for x in met]
+            head = np.array([len(keys), len(met), *(v for x in met for v in (x[0], len(x[1])))], np.int64)
+            yield _batch([(SHARD, 0, TaskContext.get().partitionId(), _squeeze(head, _rising(keys), _planes(counts), *places))])
+            tree = Subtree(keys, counts)
+            for bit in range(8):
+                tree.weigh(bit)
+                context, prefix = tree.prefix(bit)
+                code, up = np.unique(context << 8 | prefix, return_inverse=True)
+                sums = [np.bincount(up, x, len(code)) for x in (tree.weighted, tree.zeros[SPLIT], tree.ones[SPLIT])]
+                for i in range(0, len(code), 100_000):
+                    c, (w, z, o) = code[i : i + 100_000], (x[i : i + 100_000] for x in sums)
+                    none = pa.nulls(len(c), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), NODES, np.int32)), pa.array(c >> 8), pa.array(c & 255), none, none, pa.array(w), pa.array(z.astype(np.int64)), pa.array(o.astype(np.int64))], names=["kind", "chunk", "bucket", "data", "body", "weighted", "zeros", "ones"])
+
+    sent = written(docs.mapInArrow(chunks, _ROWS), "chunks")
+    table = written(sent.filter(f"kind <> {DOCS}").drop("body").repartition(n, "bucket").mapInArrow(shards, _ROWS), "shards")
+    distinct, seen = table.filter(f"kind = {SIZES}").agg(F.coalesce(F.sum("chunk"), F.lit(0)), F.coalesce(F.sum("bucket"), F.lit(0))).first()
+    ends = docs.filter("NOT held_out").count()
     n_all, n_distinct = seen + ends, distinct + (ends > 0)
+    nodes = table.filter(f"kind = {NODES}").groupBy("chunk", "bucket").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()  # nodes of SPLIT - 1 bytes
+    top = spark.sparkContext.broadcast(Top(*(nodes.column(c).to_numpy() for c in ("chunk", "bucket", "weighted", "zeros", "ones"))))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
+                x = _open(data)
+                m, askers = np.frombuffer(x, np.int64, 2).tolist()
+                head, at = np.frombuffer(x, np.int64, 2 * askers, 16).tolist(), 16 + 16 * askers
+                tree = Subtree(_risen(x, m, at), _numbers(x, m, at + 8 * m).astype(np.int64))
+                logs = np.zeros(m)
+                for bit in range(8):
+                    tree.weigh(bit)
+                    logs += tree.chances(bit, *top.value.at(*tree.prefix(bit)))
+                logs, at = logs.astype(np.float32), at + 16 * m
+                for chunk, k in zip(head[::2], head[1::2]):
+                    yield _batch([(LENGTHS, chunk, bucket, _squeeze(_rising(tree.keys[DEPTH][_risen(x, k, at).astype(np.int64)]), logs[_risen(x, k, at).astype(np.int64)]))])
+                    at += 8 * k
+
+    rated = table.filter(f"kind = {SHARD}").repartition(n, "bucket").mapInArrow(rate, _ROWS)
 
     def finish(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        kinds, data = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        body = _open(data[0])
-        docs_n, _, tokens_n = np.frombuffer(body, np.int64, 3)
-        at = 24
-        fields = []
-        for kind, count in ((np.int64, docs_n), (np.int64, docs_n), (np.float64, docs_n), (np.uint8, docs_n), (np.uint8, docs_n), (np.uint32, tokens_n)):
-            fields.append(np.frombuffer(body, kind, count, at))
-            at += int(count) * np.dtype(kind).itemsize
-        ids, lens, scores, null, held, tokens = fields
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_open(d), np.int64) for k, d in zip(kinds, data) if k == 3)])
-        owner = np.repeat(np.arange(docs_n), lens)
-        base = np.bincount(owner, np.log10(counts + 1.0)[tokens], docs_n) + np.log10(ends + 1.0) - (lens + 1) * np.log10(n_all + n_distinct + 1.0)
-        known = np.bincount(owner, (counts > 0)[tokens], docs_n).astype(np.int64) + (ends > 0)
-        return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": lens + 1, "n_known": known, "train_tokens": np.full(docs_n, n_all, np.int64), "base_score": base, "score": scores})
-
-    return table.filter("kind IN (2, 3)").groupBy("chunk").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        kinds, data = t.column("kind").to_pylist(), t.column("data")
+        body = _open(t.column("body")[kinds.index(DOCS)].as_py())
+        docs_n, at, fields = int(np.frombuffer(body, np.int64, 1)[0]), 8, []
+        for kind in (np.int64, np.int64, np.uint8, np.uint8):
+            fields.append(np.frombuffer(body, kind, docs_n, at))
+            at += docs_n * np.dtype(kind).itemsize
+        ids, lens, null, held = fields
+        ends_at = at + np.cumsum(lens)
+        texts = [body[e - k : e] for e, k in zip(ends_at.tolist(), lens.tolist())]
+        # Words stand in the order of their hashes' buckets, as they were asked for.
+        names: dict[bytes, int] = {}
+        tokens = [np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int64, len(ws)) for ws in map(bytes.split, texts)]
+        hashes = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)
+        where = _bucket(hashes, n)
+        order = np.argsort(where, kind="stable")
+        got = {bucket: data[i].as_py() for i, (kind, bucket) in enumerate(zip(kinds, t.column("bucket").to_pylist())) if kind == COUNTS}
+        counts = np.zeros(len(order), np.int64)
+        counts[order] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_open(got[b]), np.int64) for b in sorted(got))])
+        words_of = np.array([len(x) for x in tokens], np.int64)
+        owner, flat = np.repeat(np.arange(docs_n), words_of), np.concatenate([np.zeros(0, np.int64), *tokens])
+        base = np.bincount(owner, np.log10(counts + 1.0)[flat], docs_n) + np.log10(ends + 1.0) - (words_of + 1) * np.log10(n_all + n_distinct + 1.0)
+        known = np.bincount(owner, (counts > 0)[flat], docs_n).astype(np.int64) + (ends > 0)
+        keys, logs = [], []
+        for i, kind in enumerate(kinds):
+            if kind == LENGTHS:
+                x = _open(data[i].as_py())
+                keys.append(_risen(x, len(x) // 12))
+                logs.append(np.frombuffer(x, np.float32, len(x) // 12, len(x) // 12 * 8))
+        keys, logs = np.concatenate(keys), np.concatenate(logs)
+        order = np.argsort(keys)
+        score = code_lengths(texts, keys[order], logs[order])
+        bits = -score / np.log10(2) / (lens + 1)
+        return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": words_of + 1, "n_known": known, "train_tokens": np.full(docs_n, n_all, np.int64), "base_score": base, "score": score, "bits_per_byte": bits})
+
+    parts = sent.filter(f"kind = {DOCS}").select("kind", "chunk", "bucket", "data", "body")
+    for more in (table.filter(f"kind = {COUNTS}"), rated):
+        parts = parts.union(more.select("kind", "chunk", "bucket", "data", F.lit(None).cast("binary")))
+    return parts.groupBy("chunk").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op6_context_tree_weighting(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from those that aren't held out; see ``score`` for nulls, ties and odd rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2)

@@ -14,20 +14,72 @@ from bomlens.llm import toxicity as X
 from ..conftest import SMALL
 
 
-def test_tree_is_a_distribution_and_follows_counts():
+def brute_ctw(train, texts):
+    """Context-tree weighting by recursion over a tree of dictionaries, one binary choice at a time."""
+    D = C.DEPTH
+    coded = lambda t: [(bytes(D) + t + b"\xff")[i : i + D + 1] for i in range(len(t) + 1)]
+    seen = collections.Counter(g for t in train for g in coded(t))
+
+    def count(context, bits):
+        """Zeros and ones after the choices ``bits`` in ``context`` (its nearest byte last)."""
+        n = [0, 0]
+        for g, c in seen.items():
+            x = f"{g[-1]:08b}"
+            if g[:-1].endswith(context) and x.startswith(bits):
+                n[int(x[len(bits)])] += c
+        return n
+
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    memo = {}
+
+    def weighted(context, bits):
+        if (context, bits) not in memo:
+            own = kt(*count(context, bits))
+            below = {g[-2 - len(context) : -1] for g in seen if g[:-1].endswith(context)} if len(context) < D else None
+            split = sum(weighted(c, bits)[0] for c in below) if below is not None else None
+            pw = own if split is None else math.log((math.exp(own) + math.exp(split)) / 2)
+            memo[context, bits] = pw, 1.0 if split is None else math.exp(own - math.log(2) - pw)
+        return memo[context, bits]
+
+    def score(text):
+        total = 0.0
+        for g in coded(text):
+            x = f"{g[-1]:08b}"
+            for i in range(8):
+                p, left = 0.0, 1.0
+                for d in range(D + 1):
+                    context = g[D - d : D]
+                    a, b = count(context, x[:i])
+                    w = weighted(context, x[:i])[1] if a + b else (1.0 if d == D else 0.5)
+                    p += left * w * (b + 0.5) / (a + b + 1)
+                    left *= 1 - w
+                total += math.log10(p if x[i] == "1" else 1 - p)
+        return total
+
+    return [score(t) for t in texts]
+
+
+def test_scores_are_those_of_context_tree_weighting(spark):
+    docs = [(0, "abracadabra"), (1, "Abra cad"), (2, "cadé"), (3, ""), (4, "zz  q"), (5, "abracad")]
+    rows = C.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), F.col("doc_id") >= 4).collect()
+    low = {i: t.encode().lower() for i, t in docs}
+    want = brute_ctw([low[i] for i in range(4)], [low[i] for i in range(6)])
+    by = {r["doc_id"]: r for r in rows}
+    assert [by[i]["score"] for i in range(6)] == pytest.approx(want, rel=1e-5)
+    assert by[5]["bits_per_byte"] == pytest.approx(-want[5] / math.log10(2) / 8, rel=1e-5)
+
+
+def test_chances_of_all_next_bytes_sum_to_one():
     texts = [b"abracadabra", b"abrasive", b"cadabra"]
-    keys, counts = C.grams(texts)
-    counted = []
-    for d in range(C.DEPTH + 1):
-        k, c = C.summed(keys & np.uint64((1 << 8 * (d + 1)) - 1), counts)
-        contexts, row = np.unique(k >> np.uint64(8), return_inverse=True)
-        table = np.zeros((len(contexts), 256), np.int64)
-        table[row, (k & np.uint64(255)).astype(int)] = c
-        counted.append((contexts, table))
-    tree = C.Tree.fit(counted)
-    assert np.allclose((10.0 ** tree.logs.astype(float)).sum(1), 1, atol=1e-5)
-    a, b, none = tree.score([b"abracadabra", b"zzqqxxvvkkj", b""])
-    assert a > b and none < 0
+    keys, counts = C.counted(C.strings(texts)[0])
+    asked = np.concatenate([(keys[i] >> np.uint64(8) << np.uint64(8)) | np.arange(256, dtype=np.uint64) for i in (0, 7, 11)])
+    keys, counts = C.summed(np.concatenate([keys, asked]), np.concatenate([counts, np.zeros(len(asked), np.int64)]))
+    tree = C.Subtree(keys, counts, 0)
+    logs = np.zeros(len(keys))
+    for bit in range(8):
+        tree.weigh(bit)
+        logs += tree.chances(bit, np.zeros(1 << bit), np.ones(1 << bit))
+    assert (10 ** logs[np.searchsorted(keys, asked)]).reshape(3, 256).sum(1) == pytest.approx([1, 1, 1])
 
 
 def test_kt_estimate():
