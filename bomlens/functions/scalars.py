@@ -238,3 +238,8 @@ def letter_histogram(c: Column) -> Column:
     """How often each letter a-z occurs."""
     low = F.lower(F.coalesce(c, F.lit("")))
     return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: (F.length(low) - F.length(F.replace(low, F.char(i)))).cast("int"))
+
+
+def days_ago(days: Column, now: Column) -> Column:
+    """the date so many days before ``now``, in UTC."""
+    return F.date_format(F.date_sub(now.cast("date"), days), "yyyy-MM-dd")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomlens.functions.deep_json import minimal_json
+from bomlens.functions.deep_json import lowered_json, minimal_json
 from bomlens.functions.documents import MATCHED_ROOTS, components, parsed
 
 
+#: A message of the result (fixed value).
+TOO_FEW = "Need at least two CBOM payloads to compute similarity"
+
+
 def collected(jobs: DataFrame) -> DataFrame:
     """Documents of completed jobs with a text, by project and tool. ``jobs``: repo, worker, status, json."""
     return jobs.filter("status = 'completed' AND json IS NOT NULL AND trim(json) <> ''").select("repo", "worker", "json")
@@ -26,13 +30,16 @@ def match_inputs(documents: DataFrame, *, crypto_only: list[str] | None = None)
 
 
 def envelopes(members: DataFrame, inputs: DataFrame) -> DataFrame:
-    """One result a project: its groups of file, component and cost, how many there are, and a status. ``members``: repo, match,
-    file, component, cost."""
+    """One result a project: its groups of file, component and cost, how many there are, a status and an error.
+    ``members``: repo, match, file, component, cost (match -1: the time was up); ``inputs``: repo, file. A project of fewer than two documents
+    is an error, and no groups are looked for."""
     group = members.groupBy("repo", "match").agg(F.sort_array(F.collect_list(F.struct("file", "component", "cost"))).alias("group"))
-    found = group.groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct("match", "group"))), lambda g: g["group"]).alias("matches"))
-    out = inputs.select("repo").distinct().join(found, "repo", "left")
-    count = F.coalesce(F.size("matches"), F.lit(0))
-    return out.select("repo", F.greatest(count, F.lit(0)).alias("match_count"), "matches", F.lit("ok").alias("status"))
+    found = group.groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct("match", "group"))), lambda g: g["group"]).alias("matches"), F.min("match").alias("least"))
+    out = inputs.groupBy("repo").agg(F.count_distinct("file").alias("documents")).join(found, "repo", "left")
+    status = F.when(F.col("documents") < 2, "error").when(F.col("least") == -1, "timeout").otherwise("ok")
+    out = out.withColumn("status", status).withColumn("matches", F.when(F.col("status") == "ok", F.col("matches")))
+    error = F.when(F.col("status") == "error", TOO_FEW).when(F.col("status") == "timeout", "timeout")
+    return out.select("repo", F.greatest(F.coalesce(F.size("matches"), F.lit(0)), F.lit(0)).alias("match_count"), "matches", "status", error.alias("error"))
 
 
 def viewed(members: DataFrame, tools: list[str]) -> DataFrame:
@@ -51,3 +58,13 @@ def aligned(members: DataFrame, components_: DataFrame) -> DataFrame:
     """Each member with its component; ``found`` is false where the place is out of range."""
     c = components_.withColumn("found", F.lit(True))
     return members.join(c, ["repo", "file", "component"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def prepared(documents: DataFrame) -> DataFrame:
+    """The top-level components of each document, with their fields that count in lower case. ``documents``: repo, at, json.
+    A text that is no JSON is left out and the documents after it move up; one without components keeps its number."""
+    ok = documents.withColumn("doc", parsed(F.col("json"))).filter("doc IS NOT NULL")
+    ok = ok.withColumn("file", F.row_number().over(Window.partitionBy("repo").orderBy("at")) - 1)
+    found = F.try_variant_get("doc", "$.components", "array<variant>")
+    rows = ok.select("repo", "file", F.posexplode(found).alias("component", "c"))
+    return rows.select("repo", "file", "component", lowered_json(F.to_json("c")).alias("text"))

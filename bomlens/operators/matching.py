@@ -7,10 +7,11 @@ runs as one Arrow group for each project, whose size is that of its documents.
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,18 +25,39 @@ def attributes(*cs: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*cs), lambda x: x.isNotNull() & (x != "")))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def nearest(elements: DataFrame, block: list[str], k: int = NEIGHBOURS) -> DataFrame:
-    """In each block the k nearest elements of other documents, ties to smaller ids. ``elements``: block columns,
-    file, component, vector."""
-    left = elements.select(*block, F.col("file").alias("file_a"), F.col("component").alias("component_a"), F.col("vector").alias("va"))
-    right = elements.select(*block, F.col("file").alias("file_b"), F.col("component").alias("component_b"), F.col("vector").alias("vb"))
-    pairs = left.join(right, block).filter("file_a <> file_b").withColumn("distance", squared_distance(F.col("va"), F.col("vb"))).drop("va", "vb")
-    order = Window.partitionBy(*block, "file_a", "component_a").orderBy("distance", "file_b", "component_b")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """In each block the k nearest elements of other documents by Euclidean distance, ties to smaller file and component.
+    ``elements``: block columns, file, component, vector. A block is one project's components and is held by one task; it
+    compares 1024 of them at a time with all, so that pairs are never rows. Elements without a vector take no part."""
+    rows = elements.filter("vector IS NOT NULL").select(*block, "file", "component", F.col("vector").cast("array<double>").alias("vector"))
+
+    def solve(t: pa.Table) -> pa.Table:
+        x = np.array(t.column("vector").to_pylist(), np.float64)
+        file, component = t.column("file").to_numpy(), t.column("component").to_numpy()
+        order = np.lexsort((component, file))
+        x, file, component = x[order], file[order], component[order]
+        out = []
+        for at in range(0, len(x), 1024):
+            some = slice(at, at + 1024)
+            far = np.zeros((len(x[some]), len(x)))
+            for c in range(x.shape[1]):
+                far += (x[some, c, None] - x[None, :, c]) ** 2
+            far[file[some, None] == file[None, :]] = np.inf
+            first = min(k, len(x)) - 1
+            bar = np.partition(far, first, axis=1)[:, first]
+            for i, row in enumerate(far):
+                near = np.flatnonzero((row <= bar[i]) & (row < np.inf))
+                near = near[np.argsort(row[near], kind="stable")][:k]
+                out += [(at + i, j, r + 1, row[j]) for r, j in enumerate(near)]
+        i, j, rank, distance = (np.array(v) for v in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+        i, j = i.astype(np.int64), j.astype(np.int64)
+        cols = {b: t.column(b).take(pa.array(order[i])) for b in block}
+        cols |= {"file_a": file[i], "component_a": component[i], "file_b": file[j], "component_b": component[j], "distance": distance.astype(np.float64), "rank": rank.astype(np.int32)}
+        return pa.table(cols)
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    fields = [f"`{b}` {kind(b)}" for b in block] + [f"{c}_{s} {kind(c)}" for s in "ab" for c in ("file", "component")]
+    return rows.groupBy(*block).applyInArrow(solve, ", ".join([*fields, "distance double", "rank int"]))
 
 
 def pairwise(elements: DataFrame, block: list[str], cost, *, pivot: bool) -> DataFrame:
@@ -49,9 +71,9 @@ def pairwise(elements: DataFrame, block: list[str], cost, *, pivot: bool) -> Dat
     rest = [c for c in elements.columns if c not in block]
     a = rows.select(*block, *[F.col(c).alias(f"{c}_a") for c in rest], *(["pivot"] if pivot else []))
     b = elements.select(*block, *[F.col(c).alias(f"{c}_b") for c in rest])
+    if pivot:  # only the pivot's rows meet the others
+        a = a.filter("file_a = pivot").drop("pivot")
     pairs = a.join(b, block).filter("file_a <> file_b")
-    if pivot:
-        pairs = pairs.filter("file_a = pivot").drop("pivot")
     return pairs.withColumn("cost", cost)
 
 
@@ -107,21 +129,20 @@ def assignment(pairs: DataFrame, block: list[str], threshold: float = THRESHOLD)
     return pairs.select(columns).groupBy(*keys).applyInArrow(solve, fields)
 
 
-def chains(edges: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
+def chains(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components: node and the smallest node that edges reach. Labels are written to the checkpoint folder each
-    round, so plans stay short and lost executors cost nothing."""
+    round, so plans stay short and lost executors cost nothing; rounds end when no label changes."""
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct().checkpoint()
     labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("label")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["y"] == labels["node"]).select(F.col("x").alias("node"), "label")
         low = labels.union(near).groupBy("node").agg(F.min("label").alias("label"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
         new = low.join(jump, low["label"] == jump["via"], "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")).checkpoint()
-        changed = new.exceptAll(labels).limit(1).count()
+        was = labels.select("node", F.col("label").alias("was"))
+        if not new.join(was, "node").filter("label <> was").limit(1).count():
+            return new
         labels = new
-        if not changed:
-            return labels
-    raise RuntimeError(f"components of longer diameter than {rounds} rounds reach")
 
 
 def match_weight(sets: list[frozenset], documents: int) -> float:
@@ -133,10 +154,11 @@ def match_weight(sets: list[frozenset], documents: int) -> float:
     return sum(n * n for n in held.values() if n > 1) / (documents * documents * len(held)) if held else 0.0
 
 
-def n_way(elements: DataFrame, candidates: DataFrame, block: list[str]) -> DataFrame:
+def n_way(elements: DataFrame, candidates: DataFrame, block: list[str], limit_s: float | None = None) -> DataFrame:
     """Tuples with at most one component of each document. Candidate pairs are taken by weight, ties by file and component;
     two tuples merge if no document comes twice and the whole weight does not fall. ``elements``: block, file, component, attributes;
-    ``candidates``: block, file_a, component_a, file_b, component_b. Returns block, match, file, component; singletons are left out."""
+    ``candidates``: block, file_a, component_a, file_b, component_b. Returns block, match, file, component; singletons are left out.
+    A project's elements are one row of one task. With ``limit_s`` (M13), a project that takes longer gives the single row of match -1."""
     one = elements.groupBy(*block).agg(F.collect_list(F.struct("file", "component", "attributes")).alias("elements"))
     two = candidates.groupBy(*block).agg(F.collect_list(F.struct("file_a", "component_a", "file_b", "component_b")).alias("pairs"))
     n = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -150,8 +172,12 @@ def n_way(elements: DataFrame, candidates: DataFrame, block: list[str]) -> DataF
                 documents = len({f for f, _ in sets})
                 pairs = {tuple(sorted([(p["file_a"], p["component_a"]), (p["file_b"], p["component_b"])])) for p in row["pairs"]}
                 ranked = sorted(pairs, key=lambda p: (-match_weight([sets[x] for x in p], documents), p))
-                of = {x: [x] for x in sets}
+                of, late = {x: [x] for x in sets}, False
+                end = None if limit_s is None else time.monotonic() + limit_s
                 for x, y in ranked:
+                    late = end is not None and time.monotonic() >= end
+                    if late:
+                        break
                     s, t = of[x], of[y]
                     if s is t or {f for f, _ in s} & {f for f, _ in t}:
                         continue
@@ -160,6 +186,12 @@ def n_way(elements: DataFrame, candidates: DataFrame, block: list[str]) -> DataF
                         s += t
                         for z in t:
                             of[z] = s
+                if late:
+                    for k in block:
+                        out[k].append(row[k])
+                    for c in ("match", "file", "component"):
+                        out[c].append(-1)
+                    continue
                 groups = sorted({id(g): sorted(g) for g in of.values() if len(g) > 1}.values())
                 for m, g in enumerate(groups):
                     for f, c in g:
@@ -311,6 +343,6 @@ def match_groups(elements: DataFrame, block: list[str], cost, *, pivot: bool, th
     """Pairwise costs, assignments, and chains of matched components. Nodes are ``block/file/component``."""
     found = assignment(pairwise(elements, block, cost, pivot=pivot), block, threshold)
     node = lambda s: F.concat_ws("/", *[F.col(c).cast("string") for c in block], F.col(f"file_{s}").cast("string"), F.col(f"component_{s}").cast("string"))
-    edges = found.select(node("a").alias("a"), node("b").alias("b"), "cost")
+    edges = found.checkpoint().select(node("a").alias("a"), node("b").alias("b"), "cost")
     costs = edges.select(F.col("a").alias("node"), "cost").union(edges.select("b", "cost")).groupBy("node").agg(F.min("cost").alias("cost"))
     return chains(edges, "a", "b").join(costs, "node").select("node", F.col("label").alias("chain"), "cost")

@@ -67,7 +67,8 @@ def prefix_lookup(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
     """The row with this id, else those whose ids begin so; the caller sees if there is more than one."""
     exact = F.col(id_col) == prefix
     hits = rows.filter(F.col(id_col).startswith(prefix)).withColumn("__exact", exact)
-    return hits.withColumn("__any", F.max("__exact").over(Window.partitionBy())).filter("__exact OR NOT __any").drop("__exact", "__any")
+    any_ = hits.agg(F.coalesce(F.max("__exact"), F.lit(False)).alias("__any"))  # one row
+    return hits.crossJoin(F.broadcast(any_)).filter("__exact OR NOT __any").drop("__exact", "__any")
 
 
 def first_hit(tables: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -77,3 +78,30 @@ def first_hit(tables: list[DataFrame], keys: list[str]) -> DataFrame:
         t = t.withColumn("__at", F.lit(i))
         union = t if union is None else union.unionByName(t)
     return first_of(union, keys, "__at").drop("__at")
+
+
+#: Names of a tool's output, the best first (fixed values), and the folder that goes first.
+OUTPUTS, FOLDER = ["manifest.spdx.json", "manifest.json", "bom.json", "sbom.json", "cyclonedx.json"], "_manifest"
+
+
+def best_output(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Which of a tool's files is its document: the first known name anywhere in the manifest folder, then any JSON file there,
+    then a known name at the top. ``files``: keys, path (relative, with slashes). Ties go to the smallest path; without such a file, no row."""
+    parts = F.split("path", "/")
+    name, inside, top = F.element_at(parts, -1), F.element_at(parts, 1) == FOLDER, F.size(parts) == 1
+    known = F.array_position(F.array(*map(F.lit, OUTPUTS)), name)
+    n = len(OUTPUTS)
+    order = F.when(inside & (known > 0), known).when(inside & name.endswith(".json"), n + 1).when(top & (known > 0), known + n + 1)
+    rows = files.withColumn("__order", order).filter("__order IS NOT NULL")
+    return rows.groupBy(*keys).agg(F.min_by("path", F.struct("__order", "path")).alias("path"))
+
+
+def scanned_keys(keys: DataFrame) -> DataFrame:
+    """Keys of the form insp:<inspection>:job:<job> of all inspections as columns; other keys go. ``keys``: key."""
+    found = lambda i: F.regexp_extract("key", "^insp:([^:]*):job:(.*)$", i)
+    return keys.filter(F.col("key").rlike("^insp:[^:]*:job:")).select(found(1).alias("insp_id"), found(2).alias("job_id"))
+
+
+def tail(lines: Column, n: int = 10) -> Column:
+    """The last ``n`` of a list of lines."""
+    return F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), n)

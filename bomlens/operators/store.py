@@ -62,3 +62,15 @@ def enriched(repos: DataFrame, fetched: DataFrame) -> DataFrame:
 def timer_totals(timers: DataFrame) -> DataFrame:
     """Elapsed seconds by timer, over all that measured."""
     return timers.groupBy("name").agg(F.sum("elapsed").alias("elapsed"), F.count(F.lit(1)).alias("laps"))
+
+
+def looked_up(inspections: DataFrame, insp_id: str) -> DataFrame:
+    """One inspection by id, its tools as a list; a list that can't be read is empty. ``inspections``: insp_id, workers_json."""
+    tools = F.coalesce(F.from_json("workers_json", "array<string>"), F.array().cast("array<string>"))
+    return inspections.filter(F.col("insp_id") == insp_id).withColumn("workers", tools)
+
+
+def sized(repos: DataFrame, payloads: DataFrame) -> DataFrame:
+    """A project's size; where it is zero or missing, that of its result, else 0. ``repos``: repo, size; ``payloads``: repo, size."""
+    other = payloads.groupBy("repo").agg(F.max("size").alias("__size"))
+    return repos.join(other, "repo", "left").withColumn("size", F.coalesce(F.nullif("size", F.lit(0)), "__size", F.lit(0))).drop("__size")

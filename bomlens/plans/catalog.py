@@ -13,7 +13,7 @@ from bomlens.operators import grid as G
 from bomlens.operators import matching as M
 from bomlens.operators import rollup as R
 from bomlens.operators import selection as L
-from bomlens.plans.standins import CELLS, COMPONENTS, CURRENT, JOBS, WORKERS, all_jobs, components, table
+from bomlens.plans.standins import CELLS, COMPONENTS, CURRENT, JOBS, WORKERS, all_jobs, components, lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +42,7 @@ def _cells(spark, d):
 
 
 def _job_totals(spark, d):
-    return components(spark, d).groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    return lines(spark, d).groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
 
 
 # Grid and status
@@ -59,7 +59,7 @@ def status_by_worker(spark, d):
  FROM ({CELLS}) c LEFT JOIN (SELECT job_id, count(*) AS total FROM ({COMPONENTS}) WHERE type = 'A' GROUP BY 1) t USING (job_id) GROUP BY worker""")
 def worker_summary(spark, d):
     """A05."""
-    totals = components(spark, d).filter("type = 'A'").groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    totals = lines(spark, d).filter("type = 'A'").groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
     return G.worker_summary(_cells(spark, d).join(totals, "job_id", "left"), F.coalesce("total", F.lit(0)))
 
 
@@ -132,7 +132,9 @@ def component_comparison_table(spark, d):
 @query(f"SELECT w.worker, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest({WORKERS!r}) AS worker) w LEFT JOIN (SELECT worker, sum(n) FILTER (type <> 'N') AS n FROM ({_COUNTS}) GROUP BY 1) USING (worker)")
 def filtered_component_counts(spark, d):
     """A03, P09."""
-    return R.crypto_totals(_counts(spark, d), WORKERS, ["n"])
+    jobs = all_jobs(spark, d).select("job_id", "worker")
+    counts = lines(spark, d).groupBy("job_id", "type").agg(F.count(F.lit(1)).alias("n"))  # by job before the join: few rows cross it
+    return R.crypto_totals(counts.join(jobs, "job_id"), WORKERS, ["n"])
 
 
 @query("SELECT DISTINCT lower(p_type) AS type FROM part WHERE lower(trim(p_type)) NOT IN ('cryptographic-asset', 'crypto-asset')")
@@ -162,7 +164,8 @@ def column_totals(spark, d):
  WHEN 1.5 + 0.01 * total + 0.00002 * ((total * total - sq) / 2) < 600 THEN '5-10 minutes' ELSE 'longer' END AS band FROM t""")
 def runtime_bucket(spark, d):
     """F06, F07, N12."""
-    sums = _counts(spark, d).groupBy("repo", "worker").agg(F.sum("n").alias("c"))
+    jobs = all_jobs(spark, d).select("job_id", (F.col("repo") % 50).alias("repo"), "worker")
+    sums = _job_totals(spark, d).join(jobs, "job_id").groupBy("repo", "worker").agg(F.sum("total").alias("c"))
     rows = sums.groupBy("repo").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("sq"))
     rows = rows.withColumn("pairs", S.pair_count(F.col("total"), F.col("sq"))).withColumn("seconds", S.matching_seconds(F.col("total"), F.col("pairs")))
     return rows.select("repo", "total", F.col("pairs").cast("long").alias("pairs"), F.round("seconds", 6).alias("seconds"), S.runtime_band(F.col("seconds")).alias("band"))
@@ -239,7 +242,7 @@ def info_lookup_left(spark, d):
     """N04, N05, P13, P14, F14, F15. The dimension is left to the optimizer, which checks its size."""
     c, n = table(spark, d, "customer"), table(spark, d, "nation").select("n_nationkey", "n_name")
     rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return rows.select("c_custkey", F.coalesce("n_name", F.lit("")).alias("nation"), S.repo_info(F.col("n_name"), F.round("c_acctbal").cast("long"), F.col("c_custkey")).alias("info"), S.repo_url(F.lit(None).cast("string"), F.col("c_name")).alias("url"))
+    return rows.select("c_custkey", F.coalesce("n_name", F.lit("")).alias("nation"), S.repo_info(F.col("n_name"), F.bround("c_acctbal").cast("long"), F.col("c_custkey")).alias("info"), S.repo_url(F.lit(None).cast("string"), F.col("c_name")).alias("url"))
 
 
 @query("""SELECT p_partkey, CASE WHEN s.s_suppkey IS NOT NULL THEN 'supplier' WHEN c.c_custkey IS NOT NULL THEN 'customer' ELSE 'none' END AS found
@@ -448,15 +451,27 @@ def optimal_assignment(spark, d):
     return M.assignment(M.pairwise(_elements(spark, d), ["project"], cost, pivot=True), ["project"])
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1),
- both_ AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT x, x FROM both_ UNION SELECT r.node, b.y FROM r JOIN both_ b ON r.reach = b.x)
- SELECT node, min(reach) AS label FROM r GROUP BY node""")
+@query()
 def match_chains(spark, d):
-    """Parts and suppliers that large discounted lines link."""
-    e = table(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount = 0.1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
+    """Parts and suppliers that any line links."""
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
     return M.chains(e, "a", "b")
 
 
+@query()
+def pivot_match_groups(spark, d):
+    """The largest document of each project against the others, one to one, and the chains of what matches."""
+    cost = S.rename_cost(F.lit(""), F.col("p_name_a"), F.lit(""), F.col("p_name_b"))
+    return M.match_groups(_elements(spark, d), ["project"], cost, pivot=True)
+
+
+@query()
+def all_match_groups(spark, d):
+    """Every ordered pair of documents of a project, and the chains of what matches."""
+    cost = S.rename_cost(F.lit(""), F.col("p_name_a"), F.lit(""), F.col("p_name_b"))
+    return M.match_groups(_elements(spark, d), ["project"], cost, pivot=False)
+
+
 @query()
 def greedy_nway_match(spark, d):
     """Neighbours by letter histograms, then tuples by shared attributes."""

@@ -9,6 +9,7 @@ from bomlens.functions import documents as D
 from bomlens.functions import scalars as S
 from bomlens.operators import export as X
 from bomlens.operators import match_jobs as MJ
+from bomlens.operators import selection as L
 from bomlens.operators import store
 from bomlens.plans.catalog import _DOCS, _documents, query
 from bomlens.plans.standins import CURRENT, JOBS, WORKERS, all_jobs, table
@@ -90,17 +91,17 @@ def collected_documents(spark, d):
 
 
 def _inputs(spark, d):
-    """Customers modulo 50 as projects, their segments as tools."""
+    """Five customers in a row are a project, each with a document of a tool of its own; all documents that can be read enter."""
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     docs = _documents(spark, d).join(c, "c_custkey").filter("c_custkey % 7 < 4")
-    one = docs.groupBy((F.col("c_custkey") % 50).alias("repo"), F.col("c_mktsegment").alias("worker")).agg(F.min_by("doc", "c_custkey").alias("json"))
-    return MJ.match_inputs(one)
+    worker = F.concat("c_mktsegment", F.lit("/"), (F.col("c_custkey") % 5).cast("string"))
+    return MJ.match_inputs(docs.select(F.expr("c_custkey div 5").alias("repo"), worker.alias("worker"), F.col("doc").alias("json")))
 
 
-@query(f"""WITH o AS (SELECT c_custkey % 50 AS repo, c_mktsegment AS worker, min(c_custkey) AS k FROM customer WHERE c_custkey % 7 < 4 GROUP BY 1, 2),
+@query(f"""WITH o AS (SELECT c_custkey // 5 AS repo, c_mktsegment || '/' || (c_custkey % 5) AS worker, c_custkey AS k FROM customer WHERE c_custkey % 7 < 4),
  t AS (SELECT repo FROM o GROUP BY 1 HAVING count(*) >= 2)
  SELECT repo, (dense_rank() OVER (PARTITION BY repo ORDER BY worker) - 1)::BIGINT AS file, component::INTEGER AS component,
- CASE component WHEN 0 THEN '{{"type":"' || lower(worker) || '","name":"' || lower(worker) || '","cryptoProperties":{{"assetType":"algorithm"}}}}'
+ CASE component WHEN 0 THEN '{{"type":"' || lower(c_mktsegment) || '","name":"' || lower(c_mktsegment) || '","cryptoProperties":{{"assetType":"algorithm"}}}}'
  ELSE '{{"type":"","name":"n' || c_nationkey || '","cryptoProperties":{{"assetType":"key","algorithmProperties":{{"primitive":"ae"}}}}}}' END AS minimal
  FROM o JOIN t USING (repo) JOIN customer ON c_custkey = k, (SELECT unnest([0, 1]) AS component)""")
 def match_inputs(spark, d):
@@ -108,29 +109,129 @@ def match_inputs(spark, d):
     return _inputs(spark, d).select("repo", F.col("file").cast("long").alias("file"), "component", "minimal")
 
 
-@query()
-def match_results(spark, d):
-    """Neighbours, groups and envelopes of all projects."""
+def _matched(e, limit_s=None):
     from bomlens.functions.registry import vectorized
     from bomlens.operators import matching as M
 
-    e = _inputs(spark, d).select("repo", F.col("file").cast("long").alias("file"), F.col("component").cast("long").alias("component"), "minimal")
+    e = e.select("repo", F.col("file").cast("long").alias("file"), F.col("component").cast("long").alias("component"), "minimal")
     e = vectorized(e.withColumn("attributes", J.paths_of("minimal")), "minimal")
     near = M.nearest(e, ["repo"])
-    members = M.n_way(e, near, ["repo"]).withColumn("cost", F.lit(0.0))
-    return MJ.envelopes(members, e)
+    members = M.n_way(e, near, ["repo"], limit_s).withColumn("cost", F.lit(0.0))
+    return members, e
+
+
+@query()
+def match_results(spark, d):
+    """Neighbours, groups and envelopes of all projects."""
+    return MJ.envelopes(*_matched(_inputs(spark, d)))
+
+
+@query("""WITH o AS (SELECT c_custkey // 5 AS repo, count(*) FILTER (c_custkey % 7 < 4) AS n FROM customer GROUP BY 1)
+ SELECT repo, 0 AS match_count, CASE WHEN n < 2 THEN 'error' ELSE 'timeout' END AS status FROM o WHERE n > 0""")
+def match_envelopes(spark, d):
+    """Projects of one document are errors; with no time at all, all others are timeouts."""
+    members, _ = _matched(_inputs(spark, d), 0.0)
+    every = _documents(spark, d).filter("c_custkey % 7 < 4").select(F.expr("c_custkey div 5").alias("repo"), F.col("c_custkey").alias("file"))
+    return MJ.envelopes(members, every).select("repo", "match_count", "status")
+
+
+@query("""SELECT l_orderkey AS repo, l_linenumber % 3 AS file, l_linenumber AS component, p_name, p_name IS NOT NULL AS found FROM lineitem LEFT JOIN (SELECT l_orderkey AS o, l_linenumber AS c, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber < 4) ON o = l_orderkey AND c = l_linenumber""")
+def aligned_members(spark, d):
+    """Members of groups with the components at their places; places that no document has are not found."""
+    members = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("repo"), (F.col("l_linenumber") % 3).alias("file"), F.col("l_linenumber").alias("component"))
+    c = table(spark, d, "lineitem").filter("l_linenumber < 4").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    c = c.select(F.col("l_orderkey").alias("repo"), (F.col("l_linenumber") % 3).alias("file"), F.col("l_linenumber").alias("component"), "p_name")
+    return MJ.aligned(members, c)
+
+
+@query("""SELECT repo, file, component, CASE component WHEN 0 THEN lower(c_mktsegment) || '@' || c_custkey ELSE 'n-' || c_nationkey END AS name
+ FROM (SELECT *, c_custkey // 5 AS repo, (row_number() OVER (PARTITION BY c_custkey // 5 ORDER BY c_custkey) - 1)::INTEGER AS file FROM customer WHERE c_custkey % 7 NOT IN (4, 5)),
+ (SELECT unnest([0, 1])::INTEGER AS component) WHERE c_custkey % 7 = 0""")
+def prepared_documents(spark, d):
+    """Only components at the top count; broken texts are skipped and those after them move up."""
+    docs = _documents(spark, d).select(F.expr("c_custkey div 5").alias("repo"), F.col("c_custkey").alias("at"), F.col("doc").alias("json"))
+    return MJ.prepared(docs).select("repo", "file", "component", F.try_variant_get(D.parsed(F.col("text")), "$.name", "string").alias("name"))
+
+
+@query("""SELECT c_custkey AS repo, CASE WHEN c_nationkey % 4 > 0 THEN c_nationkey % 4 ELSE coalesce(s, 0) END::BIGINT AS size FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def size_fallback(spark, d):
+    """A zero or missing size is taken from the project's results."""
+    repos = table(spark, d, "customer").select(F.col("c_custkey").alias("repo"), F.nullif((F.col("c_nationkey") % 4).cast("long"), F.when(F.col("c_custkey") % 2 == 0, 0)).alias("size"))
+    return store.sized(repos, table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("size")))
+
+
+@query("SELECT c_name AS insp_id, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END::INTEGER AS tools FROM customer WHERE c_name = 'Customer#000000012'")
+def inspection_lookup(spark, d):
+    """One inspection by its id; the filter reaches the scan."""
+    tools = F.when(F.col("c_custkey") % 3 == 0, '["a","b"]').when(F.col("c_custkey") % 3 == 1, "{bad")
+    found = store.looked_up(table(spark, d, "customer").select(F.col("c_name").alias("insp_id"), tools.alias("workers_json")), "Customer#000000012")
+    return found.select("insp_id", F.size("workers").alias("tools"))
+
+
+@query("SELECT o_orderpriority AS insp_id, count(*) AS jobs FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1")
+def scanned_jobs(spark, d):
+    """Jobs of all inspections by the pattern of their keys."""
+    kind = F.when(F.col("o_orderkey") % 3 > 0, "job").otherwise("meta")
+    keys = table(spark, d, "orders").select(F.concat(F.lit("insp:"), "o_orderpriority", F.lit(":"), kind, F.lit(":"), F.col("o_orderkey").cast("string")).alias("key"))
+    return L.scanned_keys(keys).groupBy("insp_id").agg(F.count("job_id").alias("jobs"))
+
+
+@query("SELECT c_custkey AS repo, 2::INTEGER AS tools FROM customer")
+def queued_match_jobs(spark, d):
+    """Match jobs through a queue."""
+    from bomlens.streaming import catalog as SC
+
+    jobs = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("repo"), F.array("c_mktsegment", F.lit("x")).alias("tools"))
+    return SC.queued_match_jobs(spark, jobs).select("repo", F.size("tools").alias("tools"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '_manifest/x/manifest.json' WHEN 1 THEN '_manifest/a.json' WHEN 2 THEN 'bom.json' WHEN 3 THEN '_manifest/manifest.spdx.json' END AS path FROM supplier WHERE s_suppkey % 5 < 4""")
+def best_output_file(spark, d):
+    """S23."""
+    k = F.col("s_suppkey") % 5
+    paths = F.when(k == 0, F.array(*map(F.lit, ("_manifest/x/manifest.json", "_manifest/bom.json", "manifest.spdx.json")))).when(k == 1, F.array(*map(F.lit, ("_manifest/z.json", "_manifest/a.json", "bom.json")))).when(k == 2, F.array(*map(F.lit, ("sbom.json", "bom.json", "src/manifest.json")))).when(k == 3, F.array(*map(F.lit, ("_manifest/bom.json", "_manifest/manifest.spdx.json")))).otherwise(F.array(F.lit("readme.md"), F.lit("src/bom.json")))
+    return L.best_output(table(spark, d, "supplier").select("s_suppkey", F.explode(paths).alias("path")), ["s_suppkey"])
+
+
+@query("""SELECT c_custkey, '**' || c_name || '**<br/><span style=''opacity:0.75; font-size:0.9rem;''><b>ID:</b> ' || c_custkey || '<br/><b>Created:</b> ' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '?' END || '  ·  <b>Jobs:</b> ' || c_nationkey || '</span>' AS header,
+ strftime(DATE '2024-03-01' - (c_nationkey::INTEGER), '%Y-%m-%d') AS since, list_aggregate(list_transform(range(greatest(c_custkey % 17 - 9, 1), c_custkey % 17 + 1), lambda i: 'l' || i), 'string_agg', chr(10)) AS tail FROM customer WHERE c_custkey % 17 > 0""")
+def inspection_texts(spark, d):
+    """Headers, dates some days back, the last ten lines of a trace."""
+    c = table(spark, d, "customer").filter("c_custkey % 17 > 0")
+    lines = F.transform(F.sequence(F.lit(1), (F.col("c_custkey") % 17).cast("int")), lambda i: F.concat(F.lit("l"), i.cast("string")))
+    header = S.inspection_header(F.col("c_name"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), F.col("c_nationkey").cast("string"))
+    return c.select("c_custkey", header.alias("header"), S.days_ago(F.col("c_nationkey").cast("int"), F.lit("2024-03-01 00:00:00").cast("timestamp")).alias("since"), F.array_join(L.tail(lines), "\n").alias("tail"))
+
+
+@query(f"""SELECT json_object('worker', worker, 'total', count(*), 'completed', count(*) FILTER (status = 'completed'))::VARCHAR AS json FROM ({JOBS}) GROUP BY worker""")
+def status_as_json(spark, d):
+    """K13."""
+    rows = all_jobs(spark, d).groupBy("worker").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "completed").alias("completed"))
+    return X.status_json(rows)
+
+
+@query("""SELECT p_partkey::VARCHAR AS component, (p_size % 3)::VARCHAR AS file, list_aggregate(list_sort(list_distinct([p_brand, p_type])), 'string_agg', ';') AS attributes FROM part""")
+def models_as_csv(spark, d):
+    """Elements written as CSV and read back."""
+    from bomlens.operators.matching import attributes
+    from bomlens.streaming.catalog import _folder
+
+    folder = _folder(spark)
+    X.models_csv(table(spark, d, "part").select((F.col("p_size") % 3).alias("file"), F.col("p_partkey").alias("component"), attributes(F.col("p_brand"), F.col("p_type")).alias("attributes")), folder)
+    return spark.read.option("header", True).csv(folder)
 
 
-@query("""WITH m AS (SELECT l_orderkey AS repo, l_suppkey AS match, l_linenumber AS at_, l_partkey % 7 - 1 AS file, CASE WHEN l_discount > 0.02 THEN l_extendedprice END AS cost FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_linenumber ORDER BY l_partkey, l_extendedprice, l_discount) = 1),
- g AS (SELECT repo, match, arg_min(cost, at_) FILTER (cost IS NOT NULL) AS c, count(*) AS members FROM m GROUP BY 1, 2)
- SELECT repo, match, row_number() OVER (PARTITION BY repo ORDER BY c NULLS LAST, match)::INTEGER AS rank, CASE WHEN c IS NULL THEN 'n/a' ELSE format('{:.4f}', c) END AS cost, members FROM g""")
+@query(f"""WITH m AS (SELECT l_orderkey AS repo, l_suppkey AS match, l_linenumber AS at_, l_partkey % 7 - 1 AS file, CASE WHEN l_discount > 0.02 THEN l_extendedprice END AS cost FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_linenumber ORDER BY l_partkey, l_extendedprice, l_discount) = 1),
+ g AS (SELECT repo, match, arg_min(cost, at_) FILTER (cost IS NOT NULL) AS c, count(*) AS members, list(file ORDER BY at_) FILTER (file BETWEEN 0 AND 4) AS files FROM m GROUP BY 1, 2),
+ b AS (SELECT repo, match, string_agg('[' || ({WORKERS!r})[f + 1] || ']', ' ' ORDER BY i) AS badges FROM (SELECT repo, match, f, min(i) AS i FROM (SELECT repo, match, unnest(files) AS f, generate_subscripts(files, 1) AS i FROM g) GROUP BY ALL) GROUP BY 1, 2)
+ SELECT repo, match, row_number() OVER (PARTITION BY repo ORDER BY c NULLS LAST, match)::INTEGER AS rank, CASE WHEN c IS NULL THEN 'n/a' ELSE format('{{:.4f}}', c) END AS cost, coalesce(badges, '') AS badges, members FROM g LEFT JOIN b USING (repo, match)""")
 def match_viewer(spark, d):
     """M15, O02, D06."""
     m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("repo"), F.col("l_suppkey").alias("match"), F.col("l_linenumber").alias("at"), (F.col("l_partkey") % 7 - 1).alias("file"), F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice")).alias("cost"), "l_partkey", "l_extendedprice", "l_discount")
     from bomlens.operators.selection import first_of
 
     m = first_of(m, ["repo", "match", "at"], "l_partkey", "l_extendedprice", "l_discount").drop("l_partkey", "l_extendedprice", "l_discount")
-    return MJ.viewed(m, WORKERS).drop("badges")
+    return MJ.viewed(m, WORKERS)
 
 
 @query("""SELECT p_partkey, 'cryptoProperties.deep.AssetType' AS asset_path, CASE WHEN p_size > 25 THEN 'x.primitive' END AS primitive_path FROM part""")

@@ -32,6 +32,11 @@ CELLS = f"""SELECT c.repo, w.worker, j.job_id, j.price,
  FROM (SELECT c_custkey AS repo FROM customer) c CROSS JOIN (SELECT unnest({WORKERS!r}) AS worker) w LEFT JOIN ({CURRENT}) j ON c.repo = j.repo AND w.worker = j.worker"""
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components where neither their name nor their part is needed: every line has a part, so nothing is joined."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("type"))
+
+
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as components: type, asset, name (with suffix and an @ part) of a job."""
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")

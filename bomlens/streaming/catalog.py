@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import drained, final_states, source, states
+from .jobs import drained, enqueued, final_states, queue, source, states
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="bomlens-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="bomlens-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
@@ -32,3 +36,11 @@ def terminal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "cancelled").otherwise("fired")
     rows = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"))
     return final_states(drained(states(rows), f"{folder}/state", f"{folder}/out", "update"))
+
+
+def queued_match_jobs(spark: SparkSession, jobs: DataFrame) -> DataFrame:
+    """Match jobs put into a queue in two goes and taken from it as a stream."""
+    folder = _folder(spark)
+    for part in (jobs.filter("repo % 2 = 0"), jobs.filter("repo % 2 = 1")):
+        enqueued(part, f"{folder}/queue")
+    return drained(queue(spark, f"{folder}/queue", "repo long, tools array<string>"), f"{folder}/state", f"{folder}/out").drop("batch")

@@ -83,3 +83,14 @@ def drained(stream: DataFrame, checkpoint: str, out: str, mode: str = "append",
 def final_states(updates: DataFrame) -> DataFrame:
     """The last state that a stream of updates gave each job."""
     return updates.groupBy("job_id").agg(F.max_by(F.struct("status", "results"), F.struct("results", "batch")).alias("s")).select("job_id", "s.status", "s.results")
+
+
+def enqueued(jobs: DataFrame, folder: str) -> None:
+    """Append jobs to a queue, a folder of JSON lines; a job is taken from it by every reader with a checkpoint of its own, once."""
+    jobs.select(F.to_json(F.struct(*jobs.columns)).alias("value")).write.mode("append").text(folder)
+
+
+def queue(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """A queue's jobs as a stream; lines that can't be read are left out."""
+    lines = source(spark, folder, "value string", "text")
+    return lines.select(F.from_json("value", schema).alias("job")).filter("job IS NOT NULL").select("job.*")

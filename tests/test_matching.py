@@ -6,6 +6,8 @@ import json
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from bomlens.operators import matching as M
 
 
@@ -48,3 +50,79 @@ def test_groups_hold_one_component_of_a_document(spark):
     assert len(groups) == 4
     for g in groups.values():
         assert len({f for f, _ in g}) == len(g) == 3 and len({c for _, c in g}) == 1
+
+
+def best_pairs(left, right, cost):
+    """The least-cost one-to-one matching by trying all, as pairs."""
+    short, long, flip = (left, right, False) if len(left) <= len(right) else (right, left, True)
+    best = min(itertools.permutations(long, len(short)), key=lambda p: sum(cost(y, x) if flip else cost(x, y) for x, y in zip(short, p)))
+    return [(y, x) if flip else (x, y) for x, y in zip(short, best)]
+
+
+@pytest.mark.parametrize("pivot", [True, False])
+def test_match_groups_are_those_of_all_assignments(spark, pivot):
+    rng = np.random.default_rng(8)
+    rows = [(p, f, 10 * f + c, float(rng.random())) for p in ("p", "q") for f in range(3) for c in range(2 + (f + (p == "q")) % 3)]
+    e = spark.createDataFrame(rows, "project string, file long, component long, x double")
+    got = M.match_groups(e, ["project"], F.abs(F.col("x_a") - F.col("x_b")), pivot=pivot, threshold=0.4).collect()
+    x, label, least = {(p, f, c): v for p, f, c, v in rows}, {}, {}
+    for p in ("p", "q"):
+        files = {f: [k for k in x if k[:2] == (p, f)] for f in range(3)}
+        first = min(files, key=lambda f: (-len(files[f]), f))
+        for a, b in itertools.permutations(files, 2):
+            if pivot and a != first:
+                continue
+            for s, t in best_pairs(files[a], files[b], lambda s, t: abs(x[s] - x[t])):
+                d = abs(x[s] - x[t])
+                if d <= 0.4:
+                    old = {label.get(s, s), label.get(t, t)}
+                    label |= {n: min(old, key=lambda n: "/".join(map(str, n))) for n in [*label, s, t] if label.get(n, n) in old or n in (s, t)}
+                    for n in (s, t):
+                        least[n] = min(d, least.get(n, d))
+    name = lambda n: "/".join(map(str, n))
+    assert {r["node"]: (r["chain"], round(r["cost"], 9)) for r in got} == {name(n): (name(label[n]), round(least[n], 9)) for n in label}
+
+
+def test_neighbours_and_groups_are_those_of_a_plain_search(spark):
+    rng = np.random.default_rng(9)
+    rows = [(p, f, 10 * f + c, [f"t{i}" for i in rng.integers(0, 6, 3)], rng.integers(0, 4, 5).tolist()) for p in range(3) for f in range(3) for c in range(4)]
+    e = spark.createDataFrame(rows, "project long, file long, component long, attributes array<string>, vector array<int>").repartition(4)
+    near = M.nearest(e, ["project"])
+    want = set()
+    for p, f, c, _, v in rows:
+        others = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), g, d) for q, g, d, _, w in rows if q == p and g != f)
+        want |= {(p, f, c, g, d, r + 1, float(s)) for r, (s, g, d) in enumerate(others[:3])}
+    assert {(r["project"], r["file_a"], r["component_a"], r["file_b"], r["component_b"], r["rank"], r["distance"]) for r in near.collect()} == want
+    groups = set()
+    for p in range(3):
+        sets = {(f, c): set(a) for q, f, c, a, _ in rows if q == p}
+
+        def weight(g):
+            every = set().union(*(sets[x] for x in g))
+            counts = [sum(a in sets[x] for x in g) for a in every]
+            return sum(n * n for n in counts if n > 1) / (9 * len(every))
+
+        parts = [frozenset([x]) for x in sets]
+        pairs = {tuple(sorted([(f, c), (g, d)])) for q, f, c, g, d, *_ in want if q == p}
+        for x, y in sorted(pairs, key=lambda z: (-weight(z), z)):
+            s, t = (next(g for g in parts if z in g) for z in (x, y))
+            if s != t and not {f for f, _ in s} & {f for f, _ in t} and weight(s | t) > 0 and weight(s | t) >= weight(s) + weight(t):
+                parts = [g for g in parts if g not in (s, t)] + [s | t]
+        groups |= {(p, g) for g in parts if len(g) > 1}
+    got: dict = {}
+    for r in M.n_way(e, near, ["project"]).collect():
+        got.setdefault((r["project"], r["match"]), set()).add((r["file"], r["component"]))
+    assert {(p, frozenset(g)) for (p, _), g in got.items()} == groups
+    late = M.n_way(e, near, ["project"], 0.0).collect()
+    assert {(r["project"], r["match"], r["file"]) for r in late} == {(p, -1, -1) for p in range(3)}
+
+
+def test_chains_of_a_long_path_and_many_links(spark):
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(300, 400)] + [tuple(map(int, rng.integers(0, 200, 2))) for _ in range(120)]
+    label: dict = {}
+    for a, b in edges:
+        old = {label.setdefault(a, a), label.setdefault(b, b)}
+        label |= {n: min(old) for n, m in label.items() if m in old}
+    got = M.chains(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert {r["node"]: r["label"] for r in got} == label
