@@ -64,7 +64,7 @@ def test_match_groups_are_those_of_all_assignments(spark, pivot):
     rng = np.random.default_rng(8)
     rows = [(p, f, 10 * f + c, float(rng.random())) for p in ("p", "q") for f in range(3) for c in range(2 + (f + (p == "q")) % 3)]
     e = spark.createDataFrame(rows, "project string, file long, component long, x double")
-    got = M.match_groups(e, ["project"], F.abs(F.col("x_a") - F.col("x_b")), pivot=pivot, threshold=0.4).collect()
+    got = M.match_groups(e, ["project"], F.pow(F.col("x_a") - F.col("x_b"), F.lit(2)), pivot=pivot, threshold=0.2).collect()
     x, label, least = {(p, f, c): v for p, f, c, v in rows}, {}, {}
     for p in ("p", "q"):
         files = {f: [k for k in x if k[:2] == (p, f)] for f in range(3)}
@@ -72,9 +72,9 @@ def test_match_groups_are_those_of_all_assignments(spark, pivot):
         for a, b in itertools.permutations(files, 2):
             if pivot and a != first:
                 continue
-            for s, t in best_pairs(files[a], files[b], lambda s, t: abs(x[s] - x[t])):
-                d = abs(x[s] - x[t])
-                if d <= 0.4:
+            for s, t in best_pairs(files[a], files[b], lambda s, t: (x[s] - x[t]) ** 2):
+                d = (x[s] - x[t]) ** 2
+                if d <= 0.2:
                     old = {label.get(s, s), label.get(t, t)}
                     label |= {n: min(old, key=lambda n: "/".join(map(str, n))) for n in [*label, s, t] if label.get(n, n) in old or n in (s, t)}
                     for n in (s, t):
