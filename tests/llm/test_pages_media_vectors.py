@@ -138,3 +138,34 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 20 * len(by)
     assert A.search(table.limit(0), table.limit(0)).count() == 0
     assert A.search(table.filter("vec_id < 3"), table.filter("vec_id = 0")).count() == 2
+
+
+def test_near_neighbours_take_few_candidates():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((100, 32)), 40, axis=0) + rng.standard_normal((4000, 32)) * 0.3
+    x *= rng.uniform(0.9, 1.1, (4000, 1))  # the largest inner product isn't the least angle
+    f, hits, scored = A.Forest(np.arange(4000), x), 0, 0
+    q = np.arange(0, 4000, 80)
+    for i, (found, scores, n) in zip(q, f.search(x[q], q, 20, 20)):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(found))
+        scored += n
+    assert hits >= 0.9 * 20 * len(q) and scored < 0.1 * 4000 * len(q)
+
+
+def test_copies_are_in_the_order_of_their_ids_across_shards(spark, monkeypatch):
+    monkeypatch.setattr(A, "SHARD_ROWS", 100)
+    monkeypatch.setattr(A, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 24))
+    x[rng.permutation(400)[:150]] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, [1.0, float(i + 1)]) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got: dict = {}
+    for r in A.search(table, table.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    copies = [i for i in range(400) if (x[i] == x[7]).all()]
+    asked = [i for i in copies if i % 20 == 0]
+    assert asked and all([v for v, _ in got[q]] == [c for c in copies if c != q][:20] and len({w for _, w in got[q]}) == 1 for q in asked)
+    assert [v for v, _ in got[1000]] == list(range(1029, 1009, -1)) and got[1000][0][1] == 31.0
