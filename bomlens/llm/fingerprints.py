@@ -30,26 +30,29 @@ class Params:
     high_hz: float = 3520.0
 
 
-#: Filters of the published chroma fingerprint (fixed values): shape, lowest class, classes, frames, limits of its four values.
+#: The sixteen classifiers of the published Chromaprint fingerprint (its second algorithm, the default one): shape of the filter, lowest
+#: class, classes, frames, limits of its four values (fixed values).
 FILTERS = [
-    (0, 4, 3, 15, (1.98, 2.35, 2.63)),
-    (4, 4, 6, 15, (-1.03, -0.65, -0.30)),
-    (1, 0, 4, 16, (-0.30, 0.01, 0.26)),
-    (3, 8, 2, 12, (-0.22, 0.01, 0.25)),
-    (3, 4, 4, 8, (-0.13, 0.02, 0.17)),
-    (4, 0, 3, 5, (-0.25, 0.01, 0.27)),
-    (1, 2, 2, 9, (-0.35, 0.03, 0.38)),
-    (2, 7, 3, 4, (-0.12, 0.00, 0.12)),
-    (2, 6, 2, 16, (-0.25, -0.01, 0.25)),
-    (2, 1, 3, 2, (-0.19, 0.00, 0.19)),
-    (5, 10, 1, 15, (-0.19, -0.01, 0.17)),
-    (3, 6, 2, 10, (-0.22, 0.02, 0.27)),
-    (2, 1, 1, 14, (-0.07, 0.00, 0.07)),
-    (3, 5, 6, 4, (-0.14, 0.00, 0.14)),
-    (1, 9, 2, 12, (-0.35, -0.01, 0.35)),
-    (3, 4, 2, 14, (-0.25, 0.00, 0.25)),
+    (0, 4, 3, 15, (1.98215, 2.35817, 2.63523)),
+    (4, 4, 6, 15, (-1.03809, -0.651211, -0.282167)),
+    (1, 0, 4, 16, (-0.298702, 0.119262, 0.558497)),
+    (3, 8, 2, 12, (-0.105439, 0.0153946, 0.135898)),
+    (3, 4, 4, 8, (-0.142891, 0.0258736, 0.200632)),
+    (4, 0, 3, 5, (-0.826319, -0.590612, -0.368214)),
+    (1, 2, 2, 9, (-0.557409, -0.233035, 0.0534525)),
+    (2, 7, 3, 4, (-0.0646826, 0.00620476, 0.0784847)),
+    (2, 6, 2, 16, (-0.192387, -0.029699, 0.215855)),
+    (2, 1, 3, 2, (-0.0397818, -0.00568076, 0.0292026)),
+    (5, 10, 1, 15, (-0.53823, -0.369934, -0.190235)),
+    (3, 6, 2, 10, (-0.124877, 0.0296483, 0.139239)),
+    (2, 1, 1, 14, (-0.101475, 0.0225617, 0.231971)),
+    (3, 5, 6, 4, (-0.0799915, -0.00729616, 0.063262)),
+    (1, 9, 2, 12, (-0.272556, 0.019424, 0.302559)),
+    (3, 4, 2, 14, (-0.164292, -0.0321188, 0.0846339)),
 ]
 WIDTH = max(f[3] for f in FILTERS)
+#: At most so many classes of copies are split over tasks.
+LARGE = 100_000
 #: Neighbouring values differ in one bit.
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Recordings are the same if at the best offset at most this share of bits differs over this share of the shorter one.
@@ -172,11 +175,15 @@ def matches(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     n = shuffle_partitions(spark)
     rows = written(rows.select("rec", "prints", F.sha2("prints", 256).alias("digest")), "prints")
-    classes = rows.filter("octet_length(prints) > 0").groupBy("digest").agg(F.min("rec").alias("rep"))
-    salts = 64
-    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    member = rows.filter("octet_length(prints) > 0").withColumn("salt", F.pmod(F.xxhash64("rec"), F.lit(salts)).cast("int")).join(salted, ["digest", "salt"])
-    member = written(member.select("rec", "rep", "prints"), "members")
+    filled = rows.filter("octet_length(prints) > 0")
+    classes = written(filled.groupBy("digest").agg(F.min("rec").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    # Only classes of many copies are split: those with more than a hundred-thousandth of all rows, so there are no more than LARGE of them.
+    bar, salts = max(1000, (classes.agg(F.sum("n")).first()[0] or 0) // LARGE), 64
+    split = lambda d: d.withColumn("salt", F.explode(F.when(F.col("n") > bar, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    salt = lambda large: F.when(large, F.pmod(F.xxhash64("rec"), F.lit(salts)).cast("int")).otherwise(F.lit(0)).alias("salt")
+    large = F.broadcast(classes.filter(F.col("n") > bar).select("digest", F.lit(True).alias("large")))
+    member = filled.join(large, "digest", "left").select("rec", "prints", "digest", salt(F.col("large")))
+    member = written(member.join(split(classes), ["digest", "salt"]).select("rec", "rep", "n", "prints"), "members")
     reps = member.filter("rec = rep").select("rec", "prints")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,19 +239,21 @@ def matches(rows: DataFrame) -> DataFrame:
     turned = aligned.select(F.col("rec").alias("first"), F.col("first").alias("rec"), (-F.col("offset")).alias("offset"), "bit_error")
     best = aligned.union(turned).groupBy("rec").agg(F.min_by(F.struct("first", "offset", "bit_error"), F.struct(F.col("first") > F.col("rec"), "bit_error", "first")).alias("best"))
     best = best.join(joined, "rec").filter("component < rec").select("rec", "best")
-    own = reps.select("rec").join(best, "rec", "left").join(joined, "rec", "left")
-    own = own.select(F.col("rec").alias("rep"), F.coalesce("component", "rec").alias("match"), F.col("best.offset").alias("offset"), F.col("best.bit_error").alias("bit_error"))
-    salted_own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    of_member = member.select("rec", "rep").withColumn("salt", F.pmod(F.xxhash64("rec"), F.lit(salts)).cast("int")).join(salted_own, ["rep", "salt"])
+    own = member.filter("rec = rep").select("rec", "n").join(best, "rec", "left").join(joined, "rec", "left")
+    own = own.select(F.col("rec").alias("rep"), "n", F.coalesce("component", "rec").alias("match"), F.col("best.offset").alias("offset"), F.col("best.bit_error").alias("bit_error"))
+    of_member = member.select("rec", "rep", salt(F.col("n") > bar)).join(split(own), ["rep", "salt"])
     of_member = of_member.select("rec", "match", F.when(F.col("rec") == F.col("rep"), F.col("offset")).otherwise(F.lit(0)).cast("long").alias("offset"), F.when(F.col("rec") == F.col("rep"), F.col("bit_error")).otherwise(F.lit(0.0)).alias("bit_error"))
     return rows.select("rec", "prints").join(of_member, "rec", "left").withColumn("match", F.coalesce("match", "rec"))
 
 
 def op3_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:
     """No table holds audio: the UTF-8 bytes of each turn of a conversation stand in for 8-bit samples, at a rate and with frames that
-    fit their lengths. Returns per turn: rec, conv_id, turn, n_prints, prints_crc32, match, offset, bit_error."""
+    fit their lengths. Returns per turn: rec, conv_id, turn, n_prints, prints_crc32, match, offset, bit_error. A recording is known by a hash
+    of its row, so equal rows are one recording and results don't depend on how the table is split. Null, empty and short
+    texts have no prints and match nothing; other columns are ignored; no rows give no rows."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    media = turns.select(F.monotonically_increasing_id().alias("rec"), "conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    rec = F.xxhash64(F.to_json(F.struct("conv_id", "turn", "text")))
+    media = turns.select(rec.alias("rec"), "conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     rows = written(fingerprints(media, Params(rate=1000, frame=128, hop=16, low_hz=8.0, high_hz=500.0)), "fingerprints")
-    found = matches(rows.select("rec", "prints"))
-    return rows.select("rec", "conv_id", "turn").join(found, "rec").select("rec", "conv_id", "turn", F.expr("octet_length(prints) div 4").cast("long").alias("n_prints"), F.crc32("prints").alias("prints_crc32"), "match", "offset", "bit_error")
+    found = matches(rows.select("rec", "prints").dropDuplicates(["rec"])).select("rec", "match", "offset", "bit_error")
+    return rows.join(found, "rec").select("rec", "conv_id", "turn", F.expr("octet_length(prints) div 4").cast("long").alias("n_prints"), F.crc32("prints").alias("prints_crc32"), "match", "offset", "bit_error")

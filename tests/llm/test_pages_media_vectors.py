@@ -169,3 +169,29 @@ def test_copies_are_in_the_order_of_their_ids_across_shards(spark, monkeypatch):
     asked = [i for i in copies if i % 20 == 0]
     assert asked and all([v for v, _ in got[q]] == [c for c in copies if c != q][:20] and len({w for _, w in got[q]}) == 1 for q in asked)
     assert [v for v, _ in got[1000]] == list(range(1029, 1009, -1)) and got[1000][0][1] == 31.0
+
+
+def test_query_of_recordings_equals_brute_force(spark, tmp_path):
+    """Turns with shifted and noisy copies, nulls, empty and very long texts, repeated rows and clashing columns."""
+    rng = np.random.default_rng(7)
+    letters = lambda n: "".join(map(chr, rng.integers(32, 127, n)))
+    texts = [letters(700) for _ in range(60)]
+    texts += [t[160:] for t in texts[:15]] + [t[:300] + "~~" + t[302:] for t in texts[15:30]] + [letters(32) + t for t in texts[30:45]] + texts[45:50]
+    texts += [None, "", "short", letters(60_000)]
+    rows = [(i // 4, i % 4, t, 1, "x", 0.5) for i, t in enumerate(texts)] + [(None, None, texts[0], 1, "x", 0.5)] + [(0, 0, texts[0], 1, "x", 0.5)] * 2
+    spark.createDataFrame(rows, "conv_id long, turn int, text string, rec int, prints string, match double").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = P.op3_chroma_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    p = P.Params(rate=1000, frame=128, hop=16, low_hz=8.0, high_hz=500.0)
+    recs = {(r["conv_id"], r["turn"]): r["rec"] for r in got}
+    prints = {recs[c, t]: P.fingerprint(P.decode((x or "").encode()), p) for c, t, x, *_ in rows}
+    label = {r: r for r in prints}
+    for a in prints:
+        for b in prints:
+            if a < b and len(prints[a]) and len(prints[b]) and (np.array_equal(prints[a], prints[b]) or P.same(prints[a], prints[b])):
+                old = {label[a], label[b]}
+                label |= {r: min(old) for r, m in label.items() if m in old}
+    assert sum(r != m for r, m in label.items()) >= 20
+    assert {r["rec"]: (r["match"], r["n_prints"]) for r in got} == {r: (label[r], len(prints[r])) for r in prints}
+    spark.createDataFrame([], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert P.op3_chroma_fingerprints(spark, f"{tmp_path}/none").count() == 0
