@@ -28,7 +28,7 @@ DEPTH, SPLIT = 6, 3
 #: The end of a text; UTF-8 has no such byte. Before a text stand zero bytes.
 END = 0xFF
 #: Bytes of text that are sorted or looked up at once, and of a chunk of documents.
-PIECE, CHUNK = 2_000_000, 12_000_000
+PIECE, CHUNK = 1_000_000, 8_000_000
 
 _ROWS = "kind int, chunk long, bucket long, data binary, body binary, weighted double, zeros long, ones long"
 #: Kinds of rows: a chunk's words, its byte strings, its documents, counts of its words, sizes of a task's vocabulary, nodes of
@@ -41,8 +41,8 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+def _squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(a.tobytes() for a in arrays))
 
 
 def _open(blob) -> bytes:
@@ -278,11 +278,11 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
             chunk, names, counts = part << 20 | k, {}, []
             for i, t in enumerate(texts):
                 ws = t.split()
-                flat = np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int64, len(ws))
+                flat = np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int32, len(ws))
                 if not held[i]:
                     counts.append(flat)
             hashes = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)
-            seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *counts]), minlength=len(hashes)).astype(np.int64)
+            seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *counts]), minlength=len(hashes)).astype(np.int64)
             rows = []
             for where, h, c in _parted(_bucket(hashes, n), hashes, seen):
                 rows.append((WORDS, chunk, where, _squeeze(h, c)))
@@ -292,7 +292,7 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
             head = np.array([len(ids)], np.int64)
             lens = np.array([len(t) for t in texts], np.int64)
             null = np.array([d is None for d in ids], np.uint8)
-            rows.append((DOCS, chunk, 0, None, _squeeze(head, np.array([d or 0 for d in ids], np.int64), lens, null, np.array(held, np.uint8), np.frombuffer(b"".join(texts), np.uint8))))
+            rows.append((DOCS, chunk, 0, None, _squeeze(head, np.array([d or 0 for d in ids], np.int64), lens, null, np.array(held, np.uint8), np.frombuffer(b"".join(texts), np.uint8), level=3)))
             k += 1
             for i in range(0, len(rows), 64):
                 yield _batch(rows[i : i + 64])
@@ -380,7 +380,7 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
         texts = [body[e - k : e] for e, k in zip(ends_at.tolist(), lens.tolist())]
         # Words stand in the order of their hashes' buckets, as they were asked for.
         names: dict[bytes, int] = {}
-        tokens = [np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int64, len(ws)) for ws in map(bytes.split, texts)]
+        tokens = [np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int32, len(ws)) for ws in map(bytes.split, texts)]
         hashes = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)
         where = _bucket(hashes, n)
         order = np.argsort(where, kind="stable")
@@ -388,7 +388,7 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
         counts = np.zeros(len(order), np.int64)
         counts[order] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_open(got[b]), np.int64) for b in sorted(got))])
         words_of = np.array([len(x) for x in tokens], np.int64)
-        owner, flat = np.repeat(np.arange(docs_n), words_of), np.concatenate([np.zeros(0, np.int64), *tokens])
+        owner, flat = np.repeat(np.arange(docs_n, dtype=np.int32), words_of), np.concatenate([np.zeros(0, np.int32), *tokens])
         base = np.bincount(owner, np.log10(counts + 1.0)[flat], docs_n) + np.log10(ends + 1.0) - (words_of + 1) * np.log10(n_all + n_distinct + 1.0)
         known = np.bincount(owner, (counts > 0)[flat], docs_n).astype(np.int64) + (ends > 0)
         keys, logs = [], []
