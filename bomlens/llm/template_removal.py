@@ -1,9 +1,14 @@
 """Site template removal: what many pages of a host share is its template, the rest is the main text.
 
-Every page is parsed into elements, block elements are hashed with all that is below them, and Spark counts for each host on how
-many different pages a hash stands. Subtrees that recur on many pages are deleted, and with them elements whose tags or
-names say that they are no article text. Inside an element that is marked as the article, plain paragraphs and headings
-stay even if they recur, since articles quote and repeat each other.
+Every page is parsed into elements, and block elements are hashed in two ways: with all that is below them, and by their place, the chain
+of tags and attributes that leads to them. Spark counts for each host on how many different pages a hash stands, and how much
+of those pages' text it holds. Places that recur and hold less than half of the text are template, as are larger blocks that
+recur word by word; they are deleted wherever they stand outside the main place. The main place is the deepest that stands once on a
+page and holds most of the text over all of the host's pages, whatever its tag or class is called; inside it, only larger blocks
+that recur go, since articles quote and repeat each other.
+
+Lists of tags and names come second: for forms, scripts and comments, for what is left outside the main place, and for hosts with
+too few pages to tell.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from .shared import written
 #: A subtree is template if it stands on this many different pages of a host at least, and on this share of the
 #: host's different pages at least (the root of the number of pages if that is less).
 LEAST_PAGES = 3
+#: At most so many hosts are split over tasks.
+LARGE = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas".split())
@@ -44,10 +51,10 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "key", "size")
+    __slots__ = ("tag", "attrs", "children", "key", "size", "place")
 
     def __init__(self, tag: str, attrs: str):
-        self.tag, self.attrs, self.children, self.key, self.size = tag, attrs, [], 0, 0
+        self.tag, self.attrs, self.children, self.key, self.size, self.place = tag, attrs, [], 0, 0, 0
 
 
 def parse(source: str) -> Node:
@@ -104,6 +111,14 @@ def attributes(node: Node) -> dict[str, str]:
     return {k.lower(): html.unescape((v or "").strip("\"'")) for k, v in ATTRIBUTE.findall(node.attrs)}
 
 
+def names(node: Node) -> str:
+    """Class and role of an element, with digits left out: numbered names are of one place."""
+    if not node.attrs:
+        return ""
+    a = attributes(node)
+    return re.sub(r"\d+", "", f"{a.get('class', '')} {a.get('role', '')}")
+
+
 def marked(node: Node) -> str:
     """'skip', 'article' or ''."""
     if node.tag in NEVER:
@@ -126,12 +141,15 @@ def marked(node: Node) -> str:
 
 
 def settle(root: Node) -> None:
-    """Hashes and text sizes of all elements, from the leaves up, without recursion."""
+    """Hashes, places and text sizes of all elements, without recursion. Inline elements don't count in a place."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [c for c in node.children if isinstance(c, Node)]
+        for c in node.children:
+            if isinstance(c, Node):
+                c.place = xxhash.xxh3_64_intdigest(f"{node.place} {c.tag} {names(c)}") if c.tag in BLOCK else node.place
+                todo.append(c)
     for node in reversed(order):
         h = xxhash.xxh3_64(node.tag)
         for c in node.children:
@@ -178,10 +196,36 @@ def content(root: Node) -> Node:
         best = max(inner, key=lambda c: c.size)
 
 
-def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
-    """The page's blocks of text without skipped elements and template subtrees."""
-    top = content(root)
-    inside = top is not root
+def main_place(root: Node, main: set[int] | frozenset[int]) -> Node | None:
+    """The deepest element of the page at one of these places."""
+    best, deep, todo = None, -1, [(root, 0)]
+    while todo:
+        node, depth = todo.pop()
+        if node.tag in BLOCK and node.place in main and node.size and depth > deep:
+            best, deep = node, depth
+        todo += [(c, depth + 1) for c in reversed(node.children) if isinstance(c, Node)]
+    return best
+
+
+def main_text(root: Node, template: frozenset[int] | set[int] = frozenset(), main: frozenset[int] | set[int] = frozenset(), kept: frozenset[int] | set[int] = frozenset(), lists: bool = True) -> str:
+    """The page's blocks of text without template subtrees (hashes or places) and skipped elements. ``main``: places of main texts, ``kept``:
+    places that hold most of the text in several blocks of a page; a page of a host without a template is judged by tags and names.
+    ``lists`` off leaves the deletion to the template alone."""
+    known = bool(template)
+    top = (main_place(root, main) or root) if known else content(root)
+    around = {id(top)}
+    if known:  # the elements that lead to the main place are kept
+        chain, todo = {}, [root]
+        while todo:
+            node = todo.pop()
+            for c in node.children:
+                if isinstance(c, Node):
+                    chain[id(c)] = node
+                    todo.append(c)
+        node = top
+        while id(node) in chain:
+            node = chain[id(node)]
+            around.add(id(node))
     lines: list[str] = []
     now: list[str] = []
 
@@ -191,9 +235,10 @@ def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
             lines.append(text)
         now.clear()
 
-    todo: list = [(top, False)]
+    begin = root if known else top
+    todo: list = [(begin, False, not known and top is not root)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, inside = todo.pop()
         if leaving:
             end()
             continue
@@ -206,15 +251,21 @@ def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
             else:
                 now.append(" ")
             continue
-        if node is not top and node is not root:
-            if marked(node) == "skip" and not (node.tag == "header" and inside and any(c.tag in ("h1", "h2") for c in blocks(node))):
-                continue
-            if node.key in template and node.tag in BLOCK and 2 * node.size < max(top.size, 1) and not (inside and node.tag in PLAIN):
+        if id(node) not in around and node is not root:
+            heading = node.tag == "header" and inside and any(c.tag in ("h1", "h2") for c in blocks(node))
+            if (lists or node.tag in RAW or node.tag == "head") and marked(node) == "skip" and not heading:
                 continue
+            if node.tag in BLOCK:
+                if node.key in template and not (inside and node.tag in PLAIN):
+                    if known or 2 * node.size < max(top.size, 1):
+                        continue
+                if known and not inside and node.place in template:
+                    continue
+        inside = inside or (node is top and top is not root) or (known and node.place in kept and node.tag not in PLAIN)
         if node.tag in BLOCK:
             end()
-            todo.append((node, True))
-        todo += [(c, False) for c in reversed(node.children)]
+            todo.append((node, True, inside))
+        todo += [(c, False, inside) for c in reversed(node.children)]
     end()
     return "\n".join(lines)
 
@@ -225,54 +276,81 @@ def host(url):
 
 
 def _hashes(pages: DataFrame) -> DataFrame:
-    """For each page the distinct hashes of its block elements, and a fingerprint of its article."""
+    """For each page a fingerprint of its article, its text's size, and its blocks: places (with the text that they hold and how many
+    blocks stand there) and hashes of larger blocks (count 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, prints = [], []
+            prints, totals, found = [], [], []
             for source in b.column(1).to_pylist():
                 root = parse(source)
                 settle(root)
-                keys.append(np.unique(np.array([x.key for x in blocks(root) if x.size], np.uint64)).view(np.int64))
+                at: dict[int, list[int]] = {}
+                for x in blocks(root):
+                    if x.size:
+                        p = at.setdefault(x.place, [0, 0])
+                        p[0] += x.size
+                        p[1] += 1
+                        if x.tag not in PLAIN:
+                            at.setdefault(x.key, [x.size, 0])
+                found.append(at)
                 prints.append(content(root).key)
-            flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), flat], names=["host", "print", "keys"])
+                totals.append(root.size)
+            signed = lambda v: pa.array(np.array(list(v), np.uint64).view(np.int64), pa.int64())
+            offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            numbers = [pa.array([v[i] for at in found for v in at.values()], pa.int64()) for i in (0, 1)]
+            flat = pa.StructArray.from_arrays([signed(k for at in found for k in at), *numbers], names=["key", "size", "blocks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(prints), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["host", "print", "total", "found"])
 
-    return pages.mapInArrow(run, "host string, print long, keys array<long>")
+    return pages.mapInArrow(run, "host string, print long, total long, found array<struct<key: long, size: long, blocks: long>>")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``pages``: host, html. Returns host, keys: the hashes of the host's template subtrees. Copies of one
-    article count once, so a page that is served under many addresses is not its own template."""
-    seen = _hashes(pages.select("host", "html"))
-    seen = written(seen.select("host", "print", F.explode("keys").alias("key")).distinct(), "subtrees")
+    """``pages``: host, html. Returns host, template, main, kept: hashes and places of the host's template, and places that hold most
+    of its text, once on a page or in several blocks.
+    Copies of one article count once, so a page that is served under many addresses is not its own template. At most some multiple
+    of the root of a host's pages recurs often enough, so a host's row stays short."""
+    seen = _hashes(pages.select("host", "html")).select("host", "print", "total", F.explode("found").alias("f"))
+    seen = seen.groupBy("host", "print", "f.key").agg(F.max("total").alias("total"), F.max("f.size").alias("size"), F.max("f.blocks").alias("blocks"))
+    seen = written(seen, "subtrees")
     sizes = seen.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    counts = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("total").alias("total"), F.sum("blocks").alias("blocks")).filter(F.col("n") >= LEAST_PAGES)
     recurring = counts.join(sizes, "host").filter(F.col("n") >= F.sqrt("pages") / 2)
-    return written(recurring.groupBy("host").agg(F.collect_list("key").alias("keys")), "templates")
+    place, most = F.col("blocks") > 0, 2 * F.col("size") >= F.col("total")
+    once = 10 * F.col("blocks") <= 11 * F.col("n")
+    keys = lambda of, name: F.collect_list(F.when(of, F.col("key"))).alias(name)
+    # A place that holds most of the text is no template; nor is a block of words that is most of its pages.
+    return written(recurring.groupBy("host").agg(keys(~most, "template"), keys(place & most & once, "main"), keys(place & most & ~once, "kept")), "templates")
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: its id, url and main text. Null or empty html gives the empty text; pages with a null url form
     one host; repeated rows are extracted alike; other columns are ignored; no rows give no rows."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("host", host(F.col("url")))
-    found = templates(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(64)).cast("int"))
-    joined = salted.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "keys")
+    found = templates(rows)
+    # Hosts with many pages are split: those with more than a hundred-thousandth of all, so there are no more than LARGE of them.
+    of = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    bar, salts = max(1000, (of.agg(F.sum("n")).first()[0] or 0) // LARGE), 64
+    large = F.broadcast(of.filter(F.col("n") > bar).select("host", F.lit(True).alias("large")))
+    copies = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    found = found.join(large, "host", "left").select("host", "template", "main", "kept", F.explode(copies).alias("salt"))
+    salted = rows.join(large, "host", "left").withColumn("salt", F.when(F.col("large"), F.pmod(F.xxhash64("url", "page_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    joined = salted.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template", "main", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = lambda x: set(x.values.to_numpy().view(np.uint64).tolist()) if x.is_valid else frozenset()
         for b in batches:
             out = []
-            for source, keys in zip(b.column(2).to_pylist(), b.column(3)):
+            for source, *found in zip(b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5)):
                 root = parse(source)
                 settle(root)
-                template = set(keys.values.to_numpy().view(np.uint64).tolist()) if keys.is_valid else frozenset()
-                out.append(main_text(root, template))
+                out.append(main_text(root, *map(keys, found)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
 
 
 def op4_template_removal(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page; see ``extract`` for nulls, ties and odd rows."""
     out = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

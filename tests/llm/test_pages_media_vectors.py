@@ -195,3 +195,57 @@ def test_query_of_recordings_equals_brute_force(spark, tmp_path):
     assert {r["rec"]: (r["match"], r["n_prints"]) for r in got} == {r: (label[r], len(prints[r])) for r in prints}
     spark.createDataFrame([], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
     assert P.op3_chroma_fingerprints(spark, f"{tmp_path}/none").count() == 0
+
+
+def story(i, words=60):
+    rng = np.random.default_rng(i)
+    return " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(words))
+
+
+def test_menus_of_meaningless_names_go_by_their_place(spark):
+    """Menus, footers and notices whose words differ on every page, in tags and classes that say nothing."""
+    page = lambda i: f"<body><div class=q{i % 3}x><ul><li>{story(1000 + i, 3)}<li>{story(2000 + i, 3)}</ul></div><div class=zz><div class=k><p>{story(i)}</p><div class=w>{story(3000 + i, 8)}</div><p>{story(4000 + i, 20)}</div></div><div class=v>{story(5000 + i, 6)}</div>"
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(12)] + [(99, "http://h.org/none", None), (98, "http://one.org/", page(98))]
+    got = {r["page_id"]: r["text"] for r in T.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == "\n".join([story(i), story(3000 + i, 8), story(4000 + i, 20)]) for i in range(12))
+    assert got[99] == "" and story(98) in got[98]
+
+
+def test_several_articles_of_a_page_stay(spark):
+    page = lambda i: f"<div class=a>{story(100 + i, 4)}</div>" + "".join(f"<article><p>{story(10 * i + k, 30)}</p></article>" for k in range(1 + i % 3))
+    rows = [(i, f"http://h.org/{i}", f"<body>{page(i)}<footer>{story(300 + i, 5)}</footer>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in T.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join(story(10 * i + k, 30) for k in range(1 + i % 3)) for i in range(9))
+
+
+def test_templates_are_those_of_a_plain_count(spark):
+    pages = [(f"h{i % 2}", f"<body><nav>{story(i, 2)}</nav><div class=m><p>{story(50 + i, 40)}</p>{'<aside>x y</aside>' if i % 4 == 0 else ''}</div></body>") for i in range(20)]
+    got = {r["host"]: (set(r["template"]), set(r["main"])) for r in T.templates(spark.createDataFrame(pages + pages[:3], "host string, html string").repartition(4)).collect()}
+    want: dict = {}
+    for h in ("h0", "h1"):
+        at: dict = {}
+        for _, source in [p for p in pages if p[0] == h]:
+            root = T.parse(source)
+            T.settle(root)
+            mine: dict = {}
+            for x in T.blocks(root):
+                s, n = mine.get(x.place, (0, 0))
+                mine[x.place] = s + x.size, n + 1
+                if x.tag not in T.PLAIN:
+                    mine.setdefault(x.key, (x.size, 0))
+            for k, (s, n) in mine.items():
+                at.setdefault(k, []).append((s, n, root.size))
+        often = {k: v for k, v in at.items() if len(v) >= max(3, 10**0.5 / 2)}
+        most = {k for k, v in often.items() if 2 * sum(x[0] for x in v) >= sum(x[2] for x in v)}
+        main = {k for k in most if 0 < sum(x[1] for x in often[k]) <= 1.1 * len(often[k])}
+        signed = lambda ks: {k - 2**64 if k >= 2**63 else k for k in ks}
+        want[h] = signed(set(often) - most), signed(main)
+    assert got == want and all(t and m for t, m in got.values())
+
+
+def test_very_long_and_deep_pages(spark):
+    deep = "<div>" * 5000 + "core" + "</div>" * 5000
+    long = "<article>" + "".join(f"<p>line {i}</p>" for i in range(30_000)) + "</article>"
+    rows = [(1, "http://a.org", deep), (2, "http://a.org", long), (None, None, "<p>x"), (4, "no url", "<nav>only a menu</nav>")]
+    got = {r["page_id"]: r["text"] for r in T.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "core" and got[2].count("\n") == 29_999 and got[None] == "x" and got[4] == ""
