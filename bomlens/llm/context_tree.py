@@ -284,8 +284,9 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
             hashes = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)
             seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *counts]), minlength=len(hashes)).astype(np.int64)
             rows = []
-            for where, h, c in _parted(_bucket(hashes, n), hashes, seen):
-                rows.append((WORDS, chunk, where, _squeeze(h, c)))
+            order = np.argsort(hashes)  # rising numbers take less room
+            for where, h, c in _parted(_bucket(hashes, n)[order], hashes[order], seen[order]):
+                rows.append((WORDS, chunk, where, _squeeze(_rising(h), _planes(c))))
             keys, seen = own_strings(texts, held)
             for where, x, c in _parted(_bucket(keys >> np.uint64(8 * (DEPTH - SPLIT + 1)), n), keys, seen):
                 rows.append((STRINGS, chunk, where, _squeeze(np.array([len(x)], np.int64), _rising(x), _planes(c))))
@@ -315,14 +316,14 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
             for kind, chunk, bucket, data in zip(*(b.column(c).to_pylist() for c in ("kind", "chunk", "bucket", "data"))):
                 x = _open(data)
                 if kind == WORDS:
-                    asked.append((chunk, bucket, np.frombuffer(x, np.uint64, len(x) // 16), np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2)))
+                    asked.append((chunk, bucket, _risen(x, len(x) // 16), _numbers(x, len(x) // 16, len(x) // 2).astype(np.int64)))
                 else:
                     m = int(np.frombuffer(x, np.int64, 1)[0])
                     met.append((chunk, _risen(x, m, 8), _numbers(x, m, 8 + 8 * m).astype(np.int64)))
         if asked:
             known, counts = summed(np.concatenate([a[2] for a in asked]), np.concatenate([a[3] for a in asked]))
             for chunk, bucket, hashes, _ in asked:
-                yield _batch([(COUNTS, chunk, bucket, _squeeze(counts[np.searchsorted(known, hashes)]))])
+                yield _batch([(COUNTS, chunk, bucket, _squeeze(_planes(counts[np.searchsorted(known, hashes)])))])
             yield _batch([(SIZES, int((counts > 0).sum()), int(counts.sum()), b"")])
         if met:
             keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -378,15 +379,14 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
         ids, lens, null, held = fields
         ends_at = at + np.cumsum(lens)
         texts = [body[e - k : e] for e, k in zip(ends_at.tolist(), lens.tolist())]
-        # Words stand in the order of their hashes' buckets, as they were asked for.
+        # Words stand in the order of their hashes' buckets and then their hashes, as they were asked for.
         names: dict[bytes, int] = {}
         tokens = [np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int32, len(ws)) for ws in map(bytes.split, texts)]
         hashes = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)
-        where = _bucket(hashes, n)
-        order = np.argsort(where, kind="stable")
+        order = np.lexsort((hashes, _bucket(hashes, n)))
         got = {bucket: data[i].as_py() for i, (kind, bucket) in enumerate(zip(kinds, t.column("bucket").to_pylist())) if kind == COUNTS}
         counts = np.zeros(len(order), np.int64)
-        counts[order] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(_open(got[b]), np.int64) for b in sorted(got))])
+        counts[order] = np.concatenate([np.zeros(0, np.int64), *(_numbers(x, len(x) // 8).astype(np.int64) for x in (_open(got[b]) for b in sorted(got)))])
         words_of = np.array([len(x) for x in tokens], np.int64)
         owner, flat = np.repeat(np.arange(docs_n, dtype=np.int32), words_of), np.concatenate([np.zeros(0, np.int32), *tokens])
         base = np.bincount(owner, np.log10(counts + 1.0)[flat], docs_n) + np.log10(ends + 1.0) - (words_of + 1) * np.log10(n_all + n_distinct + 1.0)

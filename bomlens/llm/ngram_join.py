@@ -363,4 +363,5 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """The groups of all documents; see ``join`` for nulls, ties and odd rows."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -198,5 +198,6 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
 
 
 def op1_bm25_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens; see ``pack`` for nulls, ties and odd rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs, tokenizer_path("word_bpe_49k.json")).drop("ids")

@@ -12,9 +12,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only if that is unset on a single machine, as in tests."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="bomlens-")
     if not sc.getCheckpointDir():

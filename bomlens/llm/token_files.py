@@ -227,6 +227,7 @@ def read_files(spark, folder: str, manifest: list[dict]) -> DataFrame:
 
 
 def op5_wavelet_files(spark, sf_dir: str) -> DataFrame:
+    """All documents' ids as the files hold them; see ``write_files`` for nulls, ties and odd rows."""
     folder = shared_path(spark, "wavelet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     manifest = write_files(docs, folder, tokenizer_path("byte_bpe_50k.json"))

@@ -335,6 +335,7 @@ def score(docs: DataFrame, model: Model, *, keep_text: bool = True) -> DataFrame
 
 
 def op10_string_kernel_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see ``learn`` and ``score`` for nulls, ties and odd rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs, model, keep_text=False)
