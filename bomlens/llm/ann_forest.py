@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from .shared import written
 
 #: Trees of a shard, bits of a string, and random directions from which each tree draws its bits.
-TREES, BITS, DIRECTIONS = 400, 24, 768
+TREES, BITS, DIRECTIONS = 400, 18, 768
 #: The chance to miss a vector at the border of the neighbours; nearer ones are missed less often.
 MISS = 0.12
 #: Vectors of a shard and queries of a block, on average.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+SHARD_ROWS, BLOCK_QUERIES = 65_536, 512
 
 
 class Forest:
@@ -39,8 +39,11 @@ class Forest:
         self.directions = rng.standard_normal((vectors.shape[1] + 1, DIRECTIONS)).astype(np.float32)
         self.drawn = np.stack([rng.permutation(DIRECTIONS)[:BITS] for _ in range(TREES)])
         keys = self.strings(np.concatenate([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], 1))
-        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
-        self.keys = np.take_along_axis(keys, self.order, 1)
+        self.order = np.empty(keys.shape, np.int32)
+        for t, k in enumerate(keys):
+            self.order[t] = np.argsort(k)
+            k[:] = k[self.order[t]]
+        self.keys = keys
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         """Hash strings by tree and vector; the first bit of a string is its number's highest."""
@@ -62,7 +65,7 @@ class Forest:
         vectors were scored. The ascent ends by the ``rank``-th best."""
         keys = self.strings(np.concatenate([queries, np.zeros((len(queries), 1))], 1))
         n = len(self.ids)
-        at = [self.ranges(keys, d) for d in range(BITS + 1)]
+        at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         tree = np.arange(TREES)[:, None] * n
         flat = self.order.ravel()
         for q, x in enumerate(queries):
@@ -70,6 +73,8 @@ class Forest:
             found, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
             reach = self.length * float(np.sqrt(x @ x))
             for depth in range(BITS, -1, -1):
+                if depth not in at:
+                    at[depth] = self.ranges(keys, depth)
                 begin, end = at[depth][0][:, q], at[depth][1][:, q]
                 size = end - begin
                 total = int(size.sum())
