@@ -23,7 +23,7 @@ from .tokens import encoder
 
 WINDOW = 4096
 #: Tokens and documents of one index. More documents than that start another index of the same partition.
-SHARD_TOKENS, SHARD_DOCS = 3_000_000, 8192
+SHARD_TOKENS, SHARD_DOCS = 2_000_000, 8192
 #: Distinct tokens of the seed with the largest BM25 weights that make up a query.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
@@ -156,6 +156,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
             for ids, lens in enc.ended(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(lens)], pa.array(minhashes(ids, lens)), binaries(ids, lens)], names=["doc_id", "near", "ids"])
                 at += len(lens)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, TOKEN_SCHEMA)
 

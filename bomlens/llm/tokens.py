@@ -21,7 +21,7 @@ END_ID = 2
 #: New pieces are encoded so many at a time, as one text, and parted by the lengths of their tokens.
 TOGETHER = 64
 #: Bytes of text that are cut at once.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 8_000_000
 #: Lead bytes of the characters outside ASCII that may be white space.
 JOINED = r"^[ \n][^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
 WIDE = np.zeros(256, bool)

@@ -33,7 +33,7 @@ LANDMARKS, NEGATIVES = 160, 4000
 DECAY, SYMBOLS = 0.7, 64
 #: Letters scored at a time; longer words are scored in overlapping parts.
 PART, STEP = 20, 10
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SLOPE = 4.0
 #: Rounds in which words that come too near to the insults become examples.
 MINING = 5
@@ -118,8 +118,8 @@ class Words:
         got = []
         for length, at in by.items():
             if length >= 3:
-                for s in range(0, len(at), 2000):
-                    some = at[s : s + 2000]
+                for s in range(0, len(at), 500):
+                    some = at[s : s + 500]
                     idx, val, row = features([ws[p] for p in some])
                     norm = np.sqrt(np.bincount(row, val * val, len(some)))
                     got.append((idx, val / norm[row], np.array(some)[row]))
@@ -147,7 +147,7 @@ class Model:
     def margins(self, ws: list[str]) -> np.ndarray:
         """Of normal words of any lengths; the worst part counts."""
         flat = [(p, x) for p, w in enumerate(ws) for x in parts(w)]
-        got = np.concatenate([Words([x for _, x in flat[s : s + 10_000]]).dot(self.weights) + self.bias for s in range(0, len(flat), 10_000)])
+        got = np.concatenate([Words([x for _, x in flat[s : s + 2_000]]).dot(self.weights) + self.bias for s in range(0, len(flat), 2_000)])
         out = np.full(len(ws), -np.inf)
         np.maximum.at(out, [p for p, _ in flat], got)
         return out
@@ -328,6 +328,7 @@ def score(docs: DataFrame, model: Model, *, keep_text: bool = True) -> DataFrame
             got.append(probabilities(shared.value, key, some))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(np.concatenate(got))], names=[*(b.schema.names[c] for c in kept), "score"])
         _cache.clear()  # the worker may serve other stages next
+        pa.default_memory_pool().release_unused()
 
     kept = [i for i, c in enumerate(docs.columns) if keep_text or c != "text"]
     fields = ", ".join(f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in kept)
