@@ -33,6 +33,8 @@ BLOOM_BITS = 23
 FLUSH = 1_000_000
 #: Rounds in which the documents of a list meet its first ones, and partners that each of those left outside then meets before all do.
 PIVOTS, FEW = 6, 4
+#: A list of more documents is split into cells of so many at most on either side.
+CELL = 4096
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -283,9 +285,24 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(full.mapInArrow(check, "a long, b long"), "verified")
 
 
+def _cells(entries: DataFrame) -> DataFrame:
+    """The entries of lists of different components (list, doc, n, pos, component), dealt to cells (list, part_a, part_b): each document outside
+    its list's largest component (side a) and each document of the list (side b) share one cell, and no cell grows with its list."""
+    by = entries.groupBy("list", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("list").agg(F.max_by("component", F.struct("k", "component")).alias("large"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    by = by.filter("most < all").select("list", "large", F.ceil(F.col("all") / CELL).alias("n_b"), F.ceil((F.col("all") - F.col("most")) / CELL).alias("n_a"))
+    rows = entries.join(by, "list")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    a = rows.filter("component <> large").withColumn("part_a", part("n_a")).withColumn("part_b", upto("n_b")).withColumn("a", F.lit(True))
+    b = rows.withColumn("part_b", part("n_b")).withColumn("part_a", upto("n_a")).withColumn("a", F.lit(False))
+    both = a.unionByName(b).groupBy("list", "part_a", "part_b").agg(F.collect_list(F.struct("doc", "n", "pos", "component", "a")).alias("entries"))
+    return both.select("entries")
+
+
 def _across(lists: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of different components in each list, by lengths and positions. With ``most``, documents outside
+    """Pairs of different components in each list or cell, by lengths and positions. With ``most``, documents outside
     their list's largest component meet so many others at most: a first round that joins what links easily."""
+    split = "a" in lists.schema["entries"].dataType.elementType.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -302,17 +319,22 @@ def _across(lists: DataFrame, most: int | None) -> DataFrame:
                 order = np.lexsort((doc, pos))
                 doc, n, pos, comp = doc[order], n[order], pos[order], comp[order]
                 _, at, size = np.unique(comp, return_inverse=True, return_counts=True)
-                large = int(np.argmax(size))
                 place = np.arange(len(doc))
-                for i in np.flatnonzero(at != large):
-                    ok = (at != at[i]) & ((at == large) | (place > i)) & _may_link(n, pos, n[i], pos[i])
+                if split:
+                    seeking = v.field("a").to_numpy(zero_copy_only=False)[order]
+                    met = ~seeking
+                else:
+                    large = int(np.argmax(size))
+                    seeking, met = at != large, at == large
+                for i in np.flatnonzero(seeking):
+                    ok = (at != at[i]) & (met if split else met | (place > i)) & _may_link(n, pos, n[i], pos[i])
                     j = np.flatnonzero(ok)[:most]
                     if len(j):
                         found.append(np.stack([np.minimum(doc[j], doc[i]), np.maximum(doc[j], doc[i])], 1))
                         held += len(j)
-                if held > FLUSH:
-                    yield from send()
-                    found, held = [], 0
+                    if held > FLUSH:
+                        yield from send()
+                        found, held = [], 0
         if found:
             yield from send()
 
@@ -347,19 +369,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     tested = written(of_class(table.filter("kind = 1").select("a", "b")), "pairs")
     same = components(_verified(docs, tested).union(copies.select("copy", "rep")))
-    # What is left: pairs of different components in lists of three or more.
-    entries = table.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("doc"), "n", "pos").groupBy("list", "doc").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    # What is left: pairs of different components in lists of three or more. Long lists are split into cells.
+    listed = table.filter("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("doc"), "n", "pos")
+    long = written(listed.groupBy("list").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CELL).select("list"), "long-lists")
+    whole = lambda d: d.groupBy("list", "doc").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    split = not long.isEmpty()
+    short, longer = (whole(listed.join(long, "list", "left_anti")), whole(listed.join(long, "list", "left_semi"))) if split else (whole(listed), None)
     for most in (FEW, None):
-        now = entries.join(same.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = now.groupBy("list").agg(F.collect_list(F.struct("doc", "n", "pos", "component")).alias("entries"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        labels = same.withColumnRenamed("node", "doc")
+        placed = lambda d: d.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))  # noqa: B023, E731
+        mixed = placed(short).groupBy("list").agg(F.collect_list(F.struct("doc", "n", "pos", "component")).alias("entries"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         mixed = written(mixed.select("list", "entries"), "mixed-lists")
-        pairs = written(of_class(_across(mixed.select("entries"), most)).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _across(mixed.select("entries"), most)
+        if split:
+            apart = written(placed(longer), "long-entries")
+            found = found.union(_across(_cells(apart), most))
+            longer = apart.drop("component")
+        pairs = written(of_class(found).join(tested, ["a", "b"], "left_anti"), "pairs")
         same = components(_verified(docs, pairs).union(same.select("node", "component")))
         tested = tested.union(pairs)
-        entries = mixed.select("list", F.explode("entries").alias("e")).select("list", "e.doc", "e.n", "e.pos")
-    final = same
-    whole = rows.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return whole.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        short = mixed.select("list", F.explode("entries").alias("e")).select("list", "e.doc", "e.n", "e.pos")
+    labelled = rows.join(same.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return labelled.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -42,8 +42,10 @@ def test_odd_rows(odd, nothing):
     assert J.join(nothing).count() == 0
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_same_components_as_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "cell"), [(0, None), (1, None), (1, 4), (2, 3)])
+def test_same_components_as_brute_force(spark, monkeypatch, seed, cell):
+    if cell:  # nearly all lists are split
+        monkeypatch.setattr(J, "CELL", cell)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
@@ -64,6 +66,18 @@ def test_same_components_as_brute_force(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute(docs)
 
 
+def test_cells_hold_every_pair_of_different_components(spark):
+    rng = random.Random(5)
+    small = [(9, d, 100, 0, rng.randrange(5)) for d in range(60)]
+    want = {(x[1], y[1]) for x in small for y in small if x[1] < y[1] and x[4] != y[4]}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(J, "CELL", 7)
+        cut = J._cells(spark.createDataFrame(small, "list long, doc long, n long, pos long, component long"))
+        got = {(r["a"], r["b"]) for r in J._across(cut, None).collect()}
+        assert len(cut.collect()) > 20
+    assert got == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)))
 def test_filters_lose_nothing(a, b):
