@@ -43,7 +43,7 @@ r(node, reach) AS (SELECT a, a FROM l2 UNION SELECT r.node, l2.b FROM r JOIN l2
 c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM s LEFT JOIN c ON doc_id = node""",
     "op11_spelling_neighbourhoods": f"""
-WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(9), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
 r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{_UPPER}', '{_LOWER}') AS w FROM documents),
 d AS (SELECT w, doc_id || ':' || w AS s, count(*) AS n FROM r GROUP BY doc_id, w),
 b AS (SELECT w, n, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS b FROM d),
