@@ -5,12 +5,14 @@ from __future__ import annotations
 from .ann_forest import op9_hash_prefix_forest
 from .context_tree import op6_context_tree_weighting
 from .fingerprints import op3_chroma_fingerprints
+from .language import op12_byte_convolutions
 from .mixing import op8_mixing
 from .ngram_join import op7_ngram_jaccard_join
 from .packing import op1_bm25_packing
 from .sharding import op2_hypergeometric_shards
 from .spelling import op11_spelling_neighbourhoods
 from .template_removal import op4_template_removal
+from .token_alignment import op13_pair_keys
 from .token_files import op5_wavelet_files
 from .toxicity import op10_string_kernel_toxicity
 
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_hash_prefix_forest": op9_hash_prefix_forest,
     "op10_string_kernel_toxicity": op10_string_kernel_toxicity,
     "op11_spelling_neighbourhoods": op11_spelling_neighbourhoods,
+    "op12_byte_convolutions": op12_byte_convolutions,
+    "op13_pair_keys": op13_pair_keys,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
