@@ -147,9 +147,9 @@ def learn(docs: DataFrame, *, seed: int = 12) -> Network:
     if not counts:
         return Network.start([])
     span = 2**30
-    bars = docs.sparkSession.createDataFrame([(k, min(span, span * 2 * SAMPLE // n + 1)) for k, n in counts.items()], "lang string, bar long")
+    bars = docs.sparkSession.createDataFrame([(k, min(span, span * 2 * SAMPLE // n + 1)) for k, n in counts.items()], "lang string, bar long")  # a row for each language
     rows = rows.withColumn("place", F.xxhash64("id", "text"))
-    rows = rows.join(bars, "lang").filter(F.pmod("place", F.lit(span)) < F.col("bar")).filter(F.col("text").rlike(r"\p{L}"))  # about twice the sample
+    rows = rows.join(F.broadcast(bars), "lang").filter(F.pmod("place", F.lit(span)) < F.col("bar")).filter(F.col("text").rlike(r"\p{L}"))  # about twice the sample
     body = F.col("text").cast("binary")
     room = F.greatest(F.octet_length("text") - (WINDOW + WIDEST - 1), F.lit(0)) + 1
     views = [F.substring(body, F.pmod(F.xxhash64("place", F.lit(k)), room).cast("int") + 1, F.lit(WINDOW + WIDEST - 1)) for k in range(VIEWS)]
