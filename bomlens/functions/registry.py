@@ -56,7 +56,7 @@ def vectorized(rows: DataFrame, text: str, name: str = "letters") -> DataFrame:
 
 def register_sql(spark: SparkSession) -> None:
     """The matching functions for SQL."""
-    from bomlens.operators import matching
+    from bomlens.operators import matching, trees
 
     spark.udf.register("bracket_notation", matching.bracket_notation)
-    spark.udf.register("tree_edit_cost", matching.tree_edit_cost)
+    spark.udf.register("tree_edit_cost", trees.tree_edit_cost)

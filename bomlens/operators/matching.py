@@ -6,7 +6,6 @@ runs as one Arrow group for each project, whose size is that of its documents.
 
 from __future__ import annotations
 
-import json
 import time
 
 import numpy as np
@@ -15,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bomlens.tables import written
+
+from .assigning import THRESHOLD, assignment
+from .trees import parse, plain
+
 NEIGHBOURS = 3
 FORBIDDEN = 1e9
-THRESHOLD = 25.0
 
 
 def attributes(*cs: Column) -> Column:
@@ -105,40 +108,16 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assignment(pairs: DataFrame, block: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """For each pair of documents a one-to-one matching of least total cost; missing partners cost 1e9, and matches above the
-    threshold are dropped. ``pairs``: block, file_a, component_a, file_b, component_b, cost."""
-    keys = [*block, "file_a", "file_b"]
-    columns = [*keys, "component_a", "component_b", "cost"]
-
-    def solve(t: pa.Table) -> pa.Table:
-        a, b = t.column("component_a").to_numpy(), t.column("component_b").to_numpy()
-        rows, i = np.unique(a, return_inverse=True)
-        cols, j = np.unique(b, return_inverse=True)
-        n = max(len(rows), len(cols))
-        cost = np.full((n, n), FORBIDDEN)
-        cost[i, j] = t.column("cost").to_numpy()
-        at = assign(cost)[: len(rows)]
-        ok = [r for r, c in enumerate(at) if c < len(cols) and cost[r, c] <= threshold and cost[r, c] < FORBIDDEN]
-        first = t.select(keys).take(pa.array([0] * len(ok), pa.int64()))
-        for name, values in (("component_a", rows[ok]), ("component_b", cols[at[ok]] if ok else rows[ok]), ("cost", np.array([cost[r, at[r]] for r in ok]))):
-            first = first.append_column(name, pa.array(values))
-        return first
-
-    fields = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in columns)
-    return pairs.select(columns).groupBy(*keys).applyInArrow(solve, fields)
-
-
 def chains(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components: node and the smallest node that edges reach. Labels are written to the checkpoint folder each
     round, so plans stay short and lost executors cost nothing; rounds end when no label changes."""
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct().checkpoint()
-    labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("label")).checkpoint()
+    both = written(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct(), "chain-edges")
+    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("label")), "chain-labels")
     while True:
         near = both.join(labels, both["y"] == labels["node"]).select(F.col("x").alias("node"), "label")
         low = labels.union(near).groupBy("node").agg(F.min("label").alias("label"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        new = low.join(jump, low["label"] == jump["via"], "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")).checkpoint()
+        new = written(low.join(jump, low["label"] == jump["via"], "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")), "chain-labels")
         was = labels.select("node", F.col("label").alias("was"))
         if not new.join(was, "node").filter("label <> was").limit(1).count():
             return new
@@ -154,15 +133,18 @@ def match_weight(sets: list[frozenset], documents: int) -> float:
     return sum(n * n for n in held.values() if n > 1) / (documents * documents * len(held)) if held else 0.0
 
 
-def n_way(elements: DataFrame, candidates: DataFrame, block: list[str], limit_s: float | None = None) -> DataFrame:
+def n_way(elements: DataFrame, candidates: DataFrame, block: list[str], limit_s: float | None = None, limits: DataFrame | None = None) -> DataFrame:
     """Tuples with at most one component of each document. Candidate pairs are taken by weight, ties by file and component;
     two tuples merge if no document comes twice and the whole weight does not fall. ``elements``: block, file, component, attributes;
     ``candidates``: block, file_a, component_a, file_b, component_b. Returns block, match, file, component; singletons are left out.
-    A project's elements are one row of one task. With ``limit_s`` (M13), a project that takes longer gives the single row of match -1."""
+    A project's elements are one row of one task; ``nway.n_way_rounds`` takes projects of any size. With ``limit_s`` (M13), or a project's own limit in
+    ``limits`` (block, limit_s), a project that takes longer is stopped and gives the single row of match -1; the others keep their groups."""
     one = elements.groupBy(*block).agg(F.collect_list(F.struct("file", "component", "attributes")).alias("elements"))
     two = candidates.groupBy(*block).agg(F.collect_list(F.struct("file_a", "component_a", "file_b", "component_b")).alias("pairs"))
     n = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = one.join(two, block).repartition(n, *block)  # the work is in the projects, not in their bytes
+    rows = one.join(two, block)
+    rows = rows.join(limits.select(*block, "limit_s"), block, "left") if limits is not None else rows.withColumn("limit_s", F.lit(limit_s).cast("double"))
+    rows = rows.repartition(n, *block)  # the work is in the projects, not in their bytes
 
     def solve(batches):
         for batch in batches:
@@ -171,11 +153,16 @@ def n_way(elements: DataFrame, candidates: DataFrame, block: list[str], limit_s:
                 sets = {(e["file"], e["component"]): frozenset(e["attributes"] or ()) for e in row["elements"]}
                 documents = len({f for f, _ in sets})
                 pairs = {tuple(sorted([(p["file_a"], p["component_a"]), (p["file_b"], p["component_b"])])) for p in row["pairs"]}
-                ranked = sorted(pairs, key=lambda p: (-match_weight([sets[x] for x in p], documents), p))
                 of, late = {x: [x] for x in sets}, False
-                end = None if limit_s is None else time.monotonic() + limit_s
-                for x, y in ranked:
-                    late = end is not None and time.monotonic() >= end
+                end = float("inf") if row["limit_s"] is None else time.monotonic() + row["limit_s"]
+                ranked = []
+                for p in pairs:
+                    late = time.monotonic() >= end
+                    if late:
+                        break
+                    ranked.append((-match_weight([sets[x] for x in p], documents), p))
+                for _, (x, y) in sorted(ranked):
+                    late = late or time.monotonic() >= end
                     if late:
                         break
                     s, t = of[x], of[y]
@@ -207,24 +194,33 @@ def n_way(elements: DataFrame, candidates: DataFrame, block: list[str], limit_s:
     return rows.mapInArrow(solve, f"{fields}, match long, file long, component long")
 
 
-def _plain(text: str) -> str:
-    """ASCII without white space; braces and backslashes are escaped."""
-    out = []
-    for c in text:
-        if c.isascii() and not c.isspace():
-            out.append("\\" + c if c in "{}\\" else c)
-    return "".join(out)
+def _escaped(text: str) -> str:
+    """Braces and backslashes of plain text are escaped."""
+    return "".join("\\" + c if c in "{}\\" else c for c in plain(text))
 
 
 def bracket(value) -> str:
-    """A JSON value as a tree in bracket notation."""
-    if isinstance(value, dict):
-        return "{\\{\\}" + "".join("{\"" + _plain(k) + "\":" + bracket(v) + "}" for k, v in value.items()) + "}"
-    if isinstance(value, list):
-        return "{[]" + "".join(map(bracket, value)) + "}"
-    if value is None:
-        return "{null}"
-    return "{" + (f'"{_plain(value)}"' if isinstance(value, str) else _plain(str(value))) + "}"
+    """A JSON value as a tree in bracket notation; what is still to be written stands on a stack, so depth is no limit."""
+    out: list[str] = []
+    todo: list[tuple[bool, object]] = [(False, value)]  # whether it is text that is written as it is
+    while todo:
+        done, v = todo.pop()
+        if done:
+            out.append(v)
+        elif isinstance(v, dict):
+            out.append("{\\{\\}")
+            todo.append((True, "}"))
+            for k, x in reversed(v.items()):
+                todo += [(True, "}"), (False, x), (True, "{\"" + _escaped(k) + "\":")]
+        elif isinstance(v, list):
+            out.append("{[]")
+            todo.append((True, "}"))
+            todo += [(False, x) for x in reversed(v)]
+        elif v is None:
+            out.append("{null}")
+        else:
+            out.append("{" + (f'"{_escaped(v)}"' if isinstance(v, str) else _escaped(str(v))) + "}")
+    return "".join(out)
 
 
 @F.pandas_udf(T.StringType())
@@ -233,116 +229,17 @@ def bracket_notation(texts):
 
     def one(t):
         try:
-            return bracket(json.loads(t))
-        except (TypeError, ValueError):
+            return bracket(parse(t)) if t is not None else None
+        except ValueError:
             return None
 
     return texts.map(one)
 
 
-class Tree:
-    """A JSON value as labelled nodes; object members have no order, array items have one."""
-
-    __slots__ = ("label", "kind", "children", "size")
-
-    def __init__(self, label: str, kind: str, children: list["Tree"]):
-        self.label, self.kind, self.children = label, kind, children
-        self.size = 1 + sum(c.size for c in children)
-
-    @classmethod
-    def of(cls, value) -> "Tree":
-        if isinstance(value, dict):
-            return cls("{}", "object", [cls(str(k), "key", [cls.of(v)]) for k, v in value.items()])
-        if isinstance(value, list):
-            return cls("[]", "array", [cls.of(v) for v in value])
-        return cls("null" if value is None else str(value), "value", [])
-
-
-def edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def rename(a: Tree, b: Tree) -> float:
-    """F24."""
-    if a.kind != b.kind:
-        return FORBIDDEN
-    if a.label == b.label:
-        return 0.0
-    longest = max(len(a.label), len(b.label))
-    return 0.5 + (edits(a.label, b.label) / longest if longest else 0.0)
-
-
-def tree_distance(a: Tree, b: Tree) -> float:
-    """The least cost of turning one document into the other. Nodes are deleted and inserted at cost 1 with all below them, or
-    their children move up; array items keep their order, object members are assigned freely."""
-    memo: dict[tuple[int, int], float] = {}
-
-    def forest(x: list[Tree], y: list[Tree], ordered: bool) -> float:
-        if not x or not y:
-            return float(sum(t.size for t in x) + sum(t.size for t in y))
-        if ordered:
-            row = np.cumsum([0.0, *(t.size for t in y)])
-            for s in x:
-                new = [row[0] + s.size]
-                for j, t in enumerate(y):
-                    new.append(min(row[j + 1] + s.size, new[j] + t.size, row[j] + tree(s, t)))
-                row = np.array(new)
-            return float(row[-1])
-        n, m = len(x), len(y)
-        cost = np.zeros((n + m, n + m))
-        for i, s in enumerate(x):
-            cost[i, :m] = [tree(s, t) for t in y]
-            cost[i, m:] = s.size
-        cost[n:, :m] = [t.size for t in y]
-        at = assign(cost)
-        return float(cost[np.arange(n + m), at].sum())
-
-    def tree(s: Tree, t: Tree) -> float:
-        key = (id(s), id(t))
-        if key not in memo:
-            ordered = s.kind == "array" and t.kind == "array"
-            best = s.size + t.size
-            swap = rename(s, t)
-            if swap < FORBIDDEN:
-                best = min(best, swap + forest(s.children, t.children, ordered))
-            # One of the two is left out and a child of it stands for it.
-            for c in s.children:
-                best = min(best, 1 + sum(o.size for o in s.children if o is not c) + tree(c, t))
-            for c in t.children:
-                best = min(best, 1 + sum(o.size for o in t.children if o is not c) + tree(s, c))
-            memo[key] = float(best)
-        return memo[key]
-
-    return tree(a, b)
-
-
-@F.pandas_udf(T.DoubleType())
-def tree_edit_cost(xs, ys):
-    """M08 on two columns of JSON texts; null where one of them is none."""
-    import pandas as pd
-
-    trees: dict[str, Tree | None] = {}
-
-    def of(t):
-        if t not in trees:
-            try:
-                trees[t] = Tree.of(json.loads(t))
-            except (TypeError, ValueError):
-                trees[t] = None
-        return trees[t]
-
-    return pd.Series([tree_distance(a, b) if (a := of(x)) and (b := of(y)) else None for x, y in zip(xs, ys)], dtype="float64")
-
-
 def match_groups(elements: DataFrame, block: list[str], cost, *, pivot: bool, threshold: float = THRESHOLD) -> DataFrame:
     """Pairwise costs, assignments, and chains of matched components. Nodes are ``block/file/component``."""
     found = assignment(pairwise(elements, block, cost, pivot=pivot), block, threshold)
     node = lambda s: F.concat_ws("/", *[F.col(c).cast("string") for c in block], F.col(f"file_{s}").cast("string"), F.col(f"component_{s}").cast("string"))
-    edges = found.checkpoint().select(node("a").alias("a"), node("b").alias("b"), "cost")
+    edges = written(found, "matches").select(node("a").alias("a"), node("b").alias("b"), "cost")
     costs = edges.select(F.col("a").alias("node"), "cost").union(edges.select("b", "cost")).groupBy("node").agg(F.min("cost").alias("cost"))
     return chains(edges, "a", "b").join(costs, "node").select("node", F.col("label").alias("chain"), "cost")

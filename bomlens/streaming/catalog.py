@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import timed
 from .jobs import drained, enqueued, final_states, queue, source, states
 
 
@@ -44,3 +45,38 @@ def queued_match_jobs(spark: SparkSession, jobs: DataFrame) -> DataFrame:
     for part in (jobs.filter("repo % 2 = 0"), jobs.filter("repo % 2 = 1")):
         enqueued(part, f"{folder}/queue")
     return drained(queue(spark, f"{folder}/queue", "repo long, tools array<string>"), f"{folder}/state", f"{folder}/out").drop("batch")
+
+
+#: A job's results are awaited for six hours, and its state is kept for two days after its decision.
+LIMIT_MS, KEEP_MS, DELAY = 6 * 3_600_000, 48 * 3_600_000, "1 hour"
+
+
+def timed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job's last state under timers, and whether its state has been dropped."""
+    folder = _folder(spark)
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "cancelled").otherwise("fired")
+    at = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01', CAST(ts AS TIMESTAMP_NTZ))")
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), "event_id", status.alias("status"), at.alias("at"))
+    rows = rows.withColumn("time", F.timestamp_millis("at")).withWatermark("time", DELAY)
+    before = spark.conf.get(key := "spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, timed.PROVIDER)
+    try:
+        out = drained(timed.timed_states(rows, LIMIT_MS, KEEP_MS), f"{folder}/state", f"{folder}/out", "update")
+    finally:
+        spark.conf.set(key, before)
+    last = F.max_by(F.struct("status", "results", "dropped"), F.struct("batch", "dropped", F.col("status") != "fired"))
+    return out.groupBy("job_id").agg(last.alias("s")).select("job_id", "s.status", "s.results", "s.dropped")
+
+
+def published_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs go through the queue: a stream publishes them, another one takes them."""
+    from bomlens.sources.queue import JobQueue
+
+    spark.dataSource.register(JobQueue)
+    folder = _folder(spark)
+    schema = spark.read.parquet(f"{sf_dir}/customer.parquet").schema
+    jobs = source(spark, sf_dir, schema, glob="customer.parquet").select(F.to_json(F.struct(F.col("c_custkey").alias("repo"), F.col("c_mktsegment").alias("tool"))).alias("job"))
+    q = jobs.writeStream.format("job_queue").option("path", f"{folder}/queue").option("checkpointLocation", f"{folder}/publish").trigger(availableNow=True).start()
+    q.awaitTermination()
+    taken = drained(spark.readStream.format("job_queue").option("path", f"{folder}/queue").load(), f"{folder}/take", f"{folder}/out")
+    return taken.select(F.from_json("job", "repo long, tool string").alias("j")).select("j.*")

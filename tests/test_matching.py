@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bomlens.operators import matching as M
+from bomlens.operators.trees import parse
 
 
 @pytest.mark.parametrize("n", [1, 2, 4, 6])
@@ -24,6 +25,8 @@ def test_assignment_is_optimal(n):
 
 def test_bracket_notation():
     assert M.bracket(json.loads('{"type":"a b","n":[1,true,null]}')) == '{\\{\\}{"type":{"ab"}}{"n":{[]{1}{True}{null}}}}'
+    assert M.bracket({"a{": [[], {}, "x\\"]}) == '{\\{\\}{"a\\{":{[]{[]}{\\{\\}}{"x\\\\"}}}}'
+    assert M.bracket(parse("[" * 5000 + "]" * 5000)) == "{[]" * 5000 + "}" * 5000
 
 
 def test_chains(spark):
@@ -32,14 +35,6 @@ def test_chains(spark):
     assert M.chains(e.limit(0), "a", "b").count() == 0
 
 
-def test_tree_distance():
-    t = lambda x: M.Tree.of(x)
-    assert M.tree_distance(t({"a": 1, "b": 2}), t({"b": 2, "a": 1})) == 0
-    assert M.tree_distance(t([1, 2]), t([1, 2, 3])) == 1
-    assert M.tree_distance(t({"a": 1}), t({"a": 1, "b": 2})) == 2
-    assert M.tree_distance(t("kitten"), t("sitting")) == pytest.approx(0.5 + 3 / 7)
-
-
 def test_groups_hold_one_component_of_a_document(spark):
     e = spark.createDataFrame([("p", f, c, [f"n{c}", "t"]) for f in range(3) for c in range(4)], "project string, file long, component long, attributes array<string>")
     pairs = spark.createDataFrame([("p", a, c, b, c) for a, b in ((0, 1), (1, 2), (0, 2)) for c in range(4)], "project string, file_a long, component_a long, file_b long, component_b long")
@@ -126,3 +121,16 @@ def test_chains_of_a_long_path_and_many_links(spark):
         label |= {n: min(old) for n, m in label.items() if m in old}
     got = M.chains(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {r["node"]: r["label"] for r in got} == label
+
+
+def test_a_slow_project_is_stopped_and_fast_ones_are_not(spark):
+    """One project's properties are so many that its pairs take far longer than its limit."""
+    slow = [("slow", f, c, [f"t{k}" for k in range(3000)]) for f in range(2) for c in range(150)]
+    fast = [(f"fast{p}", f, c, [f"n{c}", "t"]) for p in range(5) for f in range(2) for c in range(3)]
+    e = spark.createDataFrame(slow + fast, "project string, file long, component long, attributes array<string>")
+    pairs = [("slow", 0, c, 1, d) for c in range(150) for d in range(150)] + [(f"fast{p}", 0, c, 1, c) for p in range(5) for c in range(3)]
+    c = spark.createDataFrame(pairs, "project string, file_a long, component_a long, file_b long, component_b long")
+    limits = e.select("project").distinct().withColumn("limit_s", F.lit(0.5))
+    got = M.n_way(e, c, ["project"], limits=limits).collect()
+    assert [(r["match"], r["file"]) for r in got if r["project"] == "slow"] == [(-1, -1)]
+    assert sorted((r["project"], r["match"], r["file"]) for r in got if r["project"] != "slow") == [(f"fast{p}", m, f) for p in range(5) for m in range(3) for f in range(2)]
