@@ -1,14 +1,13 @@
-"""Site template removal: what many pages of a host share is its template, the rest is the main text.
+"""Site template removal: subtrees that stand on many pages of a host are its template, the rest is the main text.
 
-Every page is parsed into elements, and block elements are hashed in two ways: with all that is below them, and by their place, the chain
-of tags and attributes that leads to them. Spark counts for each host on how many different pages a hash stands, and how much
-of those pages' text it holds. Places that recur and hold less than half of the text are template, as are larger blocks that
-recur word by word; they are deleted wherever they stand outside the main place. The main place is the deepest that stands once on a
-page and holds most of the text over all of the host's pages, whatever its tag or class is called; inside it, only larger blocks
-that recur go, since articles quote and repeat each other.
+Every page is parsed into elements, and each block element is hashed with its names and all that is below it. Spark counts for each
+host on how many different pages a hash stands, and how much of those pages' text it is. Subtrees that recur are deleted wherever they stand;
+short blocks of running text (paragraphs, headings, items) only if most pages of the host hold them, and never inside an article, since
+articles quote and repeat each other. Text that stands on few pages is never deleted for where it stands.
 
-Lists of tags and names come second: for forms, scripts and comments, for what is left outside the main place, and for hosts with
-too few pages to tell.
+Lists of tags and names come second, for what never is article text though it differs from page to page: forms, scripts, menus, adverts, comments.
+One rule serves all hosts: one of few pages has few recurring subtrees. On most pages these lists alone give the article, for what isn't the
+article is marked as such; README has the figures.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: A subtree is template if it stands on this many different pages of a host at least, and on this share of the
-#: host's different pages at least (the root of the number of pages if that is less).
+#: A subtree is template if it stands on this many different pages of a host at least, and on half the root of the host's different
+#: pages at least; a block of running text must stand on half of the pages.
 LEAST_PAGES = 3
 #: At most so many hosts are split over tasks.
 LARGE = 100_000
@@ -36,7 +35,7 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 #: Elements that are no article text wherever they stand.
 NEVER = frozenset("nav aside form button select option datalist fieldset label dialog menu head script style textarea title noscript template iframe svg math object canvas audio video".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody thead tfoot tr td th ul caption".split())
-#: Blocks whose recurrence inside the article means nothing.
+#: Blocks of running text.
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt dl ul ol table tbody thead tfoot tr td th figcaption figure caption".split())
 #: An open p ends before these; an open li, dt, dd, tr, td or th ends before its like.
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "li", "dt", "dd", "caption", "tbody", "thead", "tfoot"}
@@ -44,17 +43,15 @@ LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 #: Words in class, id or role that mark other things than the article.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|alert|outbrain|pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|taboola|toolbar|topbar|widgets?|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|main|content|body)(?:$|[\s_-])", re.I)
-
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "key", "size", "place")
+    __slots__ = ("tag", "attrs", "children", "key", "size")
 
     def __init__(self, tag: str, attrs: str):
-        self.tag, self.attrs, self.children, self.key, self.size, self.place = tag, attrs, [], 0, 0, 0
+        self.tag, self.attrs, self.children, self.key, self.size = tag, attrs, [], 0, 0
 
 
 def parse(source: str) -> Node:
@@ -112,46 +109,36 @@ def attributes(node: Node) -> dict[str, str]:
 
 
 def names(node: Node) -> str:
-    """Class and role of an element, with digits left out: numbered names are of one place."""
+    """Id, class and role of an element, with digits left out."""
     if not node.attrs:
         return ""
     a = attributes(node)
-    return re.sub(r"\d+", "", f"{a.get('class', '')} {a.get('role', '')}")
+    return re.sub(r"\d+", "", f"{a.get('id', '')} {a.get('class', '')} {a.get('role', '')}")
 
 
 def marked(node: Node) -> str:
     """'skip', 'article' or ''."""
     if node.tag in NEVER:
         return "skip"
-    if node.tag in ("article", "main"):
-        return "article"
     if node.tag in ("header", "footer"):
         return "skip"
-    if node.attrs:
-        a = attributes(node)
-        if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-            return "skip"
-        names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
-        if node.tag in BLOCK and node.tag not in ("html", "body"):
-            if MARKS.search(names):
-                return "skip"
-            if CONTENT.search(names) or a.get("itemprop") == "articleBody":
-                return "article"
-    return ""
+    a = attributes(node) if node.attrs else {}
+    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
+        return "skip"
+    if a and node.tag in BLOCK and node.tag not in ("html", "body", "main") and MARKS.search(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"):
+        return "skip"
+    return "article" if node.tag in ("article", "main") or a.get("itemprop") == "articleBody" or a.get("role") == "main" else ""
 
 
 def settle(root: Node) -> None:
-    """Hashes, places and text sizes of all elements, without recursion. Inline elements don't count in a place."""
+    """Hashes and text sizes of all elements, without recursion."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        for c in node.children:
-            if isinstance(c, Node):
-                c.place = xxhash.xxh3_64_intdigest(f"{node.place} {c.tag} {names(c)}") if c.tag in BLOCK else node.place
-                todo.append(c)
+        todo += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
-        h = xxhash.xxh3_64(node.tag)
+        h = xxhash.xxh3_64(f"{node.tag} {names(node)}>")
         for c in node.children:
             if isinstance(c, str):
                 text = " ".join(c.split())
@@ -175,57 +162,22 @@ def blocks(root: Node) -> list[Node]:
     return out
 
 
-def content(root: Node) -> Node:
-    """The outermost element that is marked as the article and holds most text; else the whole page."""
-    best, todo = None, [root]
+def articles(root: Node) -> list[Node]:
+    """The outermost elements that are marked as articles, in page order."""
+    found: list[Node] = []
+    todo = [root]
     while todo:
         node = todo.pop()
         mark = marked(node) if node is not root else ""
-        if mark == "skip":
-            continue
-        if mark == "article" and node.size and (best is None or node.size > best.size):
-            best = node
-        elif mark != "article":
-            todo += [c for c in node.children if isinstance(c, Node)]
-    if best is None:
-        return root
-    while True:  # a main element around one article
-        inner = [c for c in blocks(best) if c is not best and c.tag == "article" and 2 * c.size > best.size]
-        if best.tag == "article" or not inner:
-            return best
-        best = max(inner, key=lambda c: c.size)
-
-
-def main_place(root: Node, main: set[int] | frozenset[int]) -> Node | None:
-    """The deepest element of the page at one of these places."""
-    best, deep, todo = None, -1, [(root, 0)]
-    while todo:
-        node, depth = todo.pop()
-        if node.tag in BLOCK and node.place in main and node.size and depth > deep:
-            best, deep = node, depth
-        todo += [(c, depth + 1) for c in reversed(node.children) if isinstance(c, Node)]
-    return best
-
-
-def main_text(root: Node, template: frozenset[int] | set[int] = frozenset(), main: frozenset[int] | set[int] = frozenset(), kept: frozenset[int] | set[int] = frozenset(), lists: bool = True) -> str:
-    """The page's blocks of text without template subtrees (hashes or places) and skipped elements. ``main``: places of main texts, ``kept``:
-    places that hold most of the text in several blocks of a page; a page of a host without a template is judged by tags and names.
-    ``lists`` off leaves the deletion to the template alone."""
-    known = bool(template)
-    top = (main_place(root, main) or root) if known else content(root)
-    around = {id(top)}
-    if known:  # the elements that lead to the main place are kept
-        chain, todo = {}, [root]
-        while todo:
-            node = todo.pop()
-            for c in node.children:
-                if isinstance(c, Node):
-                    chain[id(c)] = node
-                    todo.append(c)
-        node = top
-        while id(node) in chain:
-            node = chain[id(node)]
-            around.add(id(node))
+        if mark == "article" and node.size:
+            found.append(node)
+        elif mark != "skip":
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return found
+
+
+def main_text(root: Node, template: frozenset[int] | set[int] = frozenset(), lists: bool = True) -> str:
+    """The page's blocks of text without template subtrees and skipped elements. ``lists`` off leaves the deletion to the template alone."""
     lines: list[str] = []
     now: list[str] = []
 
@@ -235,8 +187,7 @@ def main_text(root: Node, template: frozenset[int] | set[int] = frozenset(), mai
             lines.append(text)
         now.clear()
 
-    begin = root if known else top
-    todo: list = [(begin, False, not known and top is not root)]
+    todo: list = [(root, False, False)]
     while todo:
         node, leaving, inside = todo.pop()
         if leaving:
@@ -251,17 +202,20 @@ def main_text(root: Node, template: frozenset[int] | set[int] = frozenset(), mai
             else:
                 now.append(" ")
             continue
-        if id(node) not in around and node is not root:
-            heading = node.tag == "header" and inside and any(c.tag in ("h1", "h2") for c in blocks(node))
-            if (lists or node.tag in RAW or node.tag == "head") and marked(node) == "skip" and not heading:
+        if node is not root:
+            if node.tag in BLOCK and node.key in template and not (inside and node.tag in PLAIN):
                 continue
-            if node.tag in BLOCK:
-                if node.key in template and not (inside and node.tag in PLAIN):
-                    if known or 2 * node.size < max(top.size, 1):
-                        continue
-                if known and not inside and node.place in template:
+            mark = marked(node)
+            inside = inside or mark == "article"
+            if mark == "skip" and (lists or node.tag in RAW or node.tag == "head"):
+                if node.tag != "header":
+                    continue
+                heads = [c for c in blocks(node) if c.tag in ("h1", "h2")]
+                if not heads:
+                    continue
+                if not inside:  # a page's title stands in its header; what else does is none of the article
+                    todo += [(c, False, False) for c in heads]
                     continue
-        inside = inside or (node is top and top is not root) or (known and node.place in kept and node.tag not in PLAIN)
         if node.tag in BLOCK:
             end()
             todo.append((node, True, inside))
@@ -276,8 +230,7 @@ def host(url):
 
 
 def _hashes(pages: DataFrame) -> DataFrame:
-    """For each page a fingerprint of its article, its text's size, and its blocks: places (with the text that they hold and how many
-    blocks stand there) and hashes of larger blocks (count 0)."""
+    """For each page a fingerprint of its article, its text's size, and its blocks: hash, size, whether of running text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,42 +238,31 @@ def _hashes(pages: DataFrame) -> DataFrame:
             for source in b.column(1).to_pylist():
                 root = parse(source)
                 settle(root)
-                at: dict[int, list[int]] = {}
-                for x in blocks(root):
-                    if x.size:
-                        p = at.setdefault(x.place, [0, 0])
-                        p[0] += x.size
-                        p[1] += 1
-                        if x.tag not in PLAIN:
-                            at.setdefault(x.key, [x.size, 0])
-                found.append(at)
-                prints.append(content(root).key)
+                found.append({x.key: (x.size, x.tag in PLAIN) for x in blocks(root) if x.size})
+                tops = articles(root)
+                prints.append(xxhash.xxh3_64_intdigest(b"".join(c.key.to_bytes(8, "little") for c in tops or [root])))
                 totals.append(root.size)
             signed = lambda v: pa.array(np.array(list(v), np.uint64).view(np.int64), pa.int64())
             offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-            numbers = [pa.array([v[i] for at in found for v in at.values()], pa.int64()) for i in (0, 1)]
-            flat = pa.StructArray.from_arrays([signed(k for at in found for k in at), *numbers], names=["key", "size", "blocks"])
+            sizes, plain = (pa.array([v[i] for at in found for v in at.values()], t) for i, t in ((0, pa.int64()), (1, pa.bool_())))
+            flat = pa.StructArray.from_arrays([signed(k for at in found for k in at), sizes, plain], names=["key", "size", "plain"])
             yield pa.RecordBatch.from_arrays([b.column(0), signed(prints), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["host", "print", "total", "found"])
 
-    return pages.mapInArrow(run, "host string, print long, total long, found array<struct<key: long, size: long, blocks: long>>")
+    return pages.mapInArrow(run, "host string, print long, total long, found array<struct<key: long, size: long, plain: boolean>>")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``pages``: host, html. Returns host, template, main, kept: hashes and places of the host's template, and places that hold most
-    of its text, once on a page or in several blocks.
-    Copies of one article count once, so a page that is served under many addresses is not its own template. At most some multiple
-    of the root of a host's pages recurs often enough, so a host's row stays short."""
+    """``pages``: host, html. Returns host, template: the hashes of the host's recurring subtrees. Copies of one article count once, so a page
+    that is served under many addresses is not its own template; nor is a subtree that holds most of its pages' text. At most some multiple of
+    the root of a host's pages recurs often enough, so a host's row stays short."""
     seen = _hashes(pages.select("host", "html")).select("host", "print", "total", F.explode("found").alias("f"))
-    seen = seen.groupBy("host", "print", "f.key").agg(F.max("total").alias("total"), F.max("f.size").alias("size"), F.max("f.blocks").alias("blocks"))
+    seen = seen.groupBy("host", "print", "f.key").agg(F.max("total").alias("total"), F.max("f.size").alias("size"), F.min("f.plain").alias("plain"))
     seen = written(seen, "subtrees")
     sizes = seen.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("total").alias("total"), F.sum("blocks").alias("blocks")).filter(F.col("n") >= LEAST_PAGES)
-    recurring = counts.join(sizes, "host").filter(F.col("n") >= F.sqrt("pages") / 2)
-    place, most = F.col("blocks") > 0, 2 * F.col("size") >= F.col("total")
-    once = 10 * F.col("blocks") <= 11 * F.col("n")
-    keys = lambda of, name: F.collect_list(F.when(of, F.col("key"))).alias(name)
-    # A place that holds most of the text is no template; nor is a block of words that is most of its pages.
-    return written(recurring.groupBy("host").agg(keys(~most, "template"), keys(place & most & once, "main"), keys(place & most & ~once, "kept")), "templates")
+    counts = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("total").alias("total"), F.min("plain").alias("plain")).filter(F.col("n") >= LEAST_PAGES)
+    often = F.when(F.col("plain"), 2 * F.col("n") >= F.col("pages")).otherwise(2 * F.col("n") >= F.sqrt("pages"))
+    recurring = counts.filter(2 * F.col("size") < F.col("total")).join(sizes, "host").filter(often)
+    return written(recurring.groupBy("host").agg(F.collect_list("key").alias("template")), "templates")
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -333,18 +275,18 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     bar, salts = max(1000, (of.agg(F.sum("n")).first()[0] or 0) // LARGE), 64
     large = F.broadcast(of.filter(F.col("n") > bar).select("host", F.lit(True).alias("large")))
     copies = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    found = found.join(large, "host", "left").select("host", "template", "main", "kept", F.explode(copies).alias("salt"))
+    found = found.join(large, "host", "left").select("host", "template", F.explode(copies).alias("salt"))
     salted = rows.join(large, "host", "left").withColumn("salt", F.when(F.col("large"), F.pmod(F.xxhash64("url", "page_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-    joined = salted.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template", "main", "kept")
+    joined = salted.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = lambda x: set(x.values.to_numpy().view(np.uint64).tolist()) if x.is_valid else frozenset()
         for b in batches:
             out = []
-            for source, *found in zip(b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5)):
+            for source, found in zip(b.column(2).to_pylist(), b.column(3)):
                 root = parse(source)
                 settle(root)
-                out.append(main_text(root, *map(keys, found)))
+                out.append(main_text(root, keys(found)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
