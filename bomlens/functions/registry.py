@@ -55,8 +55,10 @@ def vectorized(rows: DataFrame, text: str, name: str = "letters") -> DataFrame:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """The matching functions for SQL."""
+    """The matching functions for SQL, of pairs and of tables."""
+    from bomlens.functions import table_functions
     from bomlens.operators import matching, trees
 
     spark.udf.register("bracket_notation", matching.bracket_notation)
     spark.udf.register("tree_edit_cost", trees.tree_edit_cost)
+    table_functions.register(spark)

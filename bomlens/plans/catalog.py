@@ -453,7 +453,9 @@ def optimal_assignment(spark, d):
     return M.assignment(M.pairwise(_elements(spark, d), ["project"], cost, pivot=True), ["project"])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem UNION SELECT DISTINCT l_suppkey + 1000000000, l_partkey FROM lineitem),
+ cc(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT n.node, n.label FROM (SELECT e.a AS node, min(cc.label) AS label FROM cc JOIN e ON e.b = cc.node GROUP BY e.a) n JOIN recurring.cc r ON r.node = n.node WHERE n.label < r.label)
+ SELECT node, label FROM cc""")
 def match_chains(spark, d):
     """Parts and suppliers that any line links."""
     e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
@@ -483,7 +485,11 @@ def greedy_nway_match(spark, d):
     return M.n_way(e.withColumn("file", F.col("file").cast("long")), near.select("project", F.col("file_a").cast("long").alias("file_a"), "component_a", F.col("file_b").cast("long").alias("file_b"), "component_b"), ["project"])
 
 
-@query()
+_TREE = """'{\\{\\}{"components":{[]{\\{\\}{"type":{"' || lower(c_mktsegment) || '"}}{"name":{"' || c_mktsegment || '@' || c_custkey || '"}}{"cryptoProperties":{\\{\\}{"assetType":{"algorithm"}}}}}{\\{\\}{"type":{""}}{"name":{"N-' || c_nationkey || '"}}{"cryptoProperties":{\\{\\}{"assetType":{"key"}}{"algorithmProperties":{\\{\\}{"primitive":{"ae"}}}}}}}}}}'"""
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN {_TREE} WHEN 1 THEN '{{\\{{\\}}{{"bom":' || {_TREE} || '}}}}' WHEN 2 THEN '{{[]{{\\{{\\}}{{"bom":' || {_TREE} || '}}}}}}'
+ WHEN 3 THEN '{{[]' || {_TREE} || '}}' WHEN 6 THEN '{{\\{{\\}}{{"components":{{[]}}}}}}' END AS tree FROM customer""")
 def bracket_notation(spark, d):
     """J13, J14."""
     return _documents(spark, d).select("c_custkey", M.bracket_notation("doc").alias("tree"))

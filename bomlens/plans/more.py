@@ -293,7 +293,13 @@ def text_rules(spark, d):
     return table(spark, d, "customer").select("c_custkey", S.clone_reason(err).alias("reason"), S.redacted(F.lit("https://user:tok@h.org/r")).alias("url"), S.analyser_language(pick("C++", " TypeScript ", "C#", "cobol")).alias("language"), S.trace_text(F.lit("a"), F.lit(""), F.lit("b")).alias("trace"))
 
 
-@query()
+_PRETTY = """'{' || chr(10) || '  "components": [' || chr(10) || '    {' || chr(10) || '      "cryptoProperties": {' || chr(10) || '        "assetType": "algorithm"' || chr(10) || '      },' || chr(10) || '      "name": "' || c_mktsegment || '@' || c_custkey || '",' || chr(10) || '      "type": "' || lower(c_mktsegment) || '"' || chr(10) || '    },' || chr(10)
+ || '    {' || chr(10) || '      "cryptoProperties": {' || chr(10) || '        "algorithmProperties": {' || chr(10) || '          "primitive": "ae"' || chr(10) || '        },' || chr(10) || '        "assetType": "key"' || chr(10) || '      },' || chr(10) || '      "name": "N-' || c_nationkey || '",' || chr(10) || '      "type": ""' || chr(10) || '    }' || chr(10) || '  ]' || chr(10) || '}'"""
+
+
+@query(f"""SELECT 'i1/w/owner_' || c_custkey || '_w.json' AS path, CASE c_custkey % 7 WHEN 2 THEN '[' || chr(10) || '  {{' || chr(10) || '    "bom": ' || replace(p, chr(10), chr(10) || '    ') || chr(10) || '  }}' || chr(10) || ']'
+ WHEN 3 THEN '[' || chr(10) || '  ' || replace(p, chr(10), chr(10) || '  ') || chr(10) || ']' WHEN 4 THEN '{{bad' WHEN 5 THEN '' WHEN 6 THEN '{{' || chr(10) || '  "components": []' || chr(10) || '}}' ELSE p END AS content
+ FROM (SELECT c_custkey, {_PRETTY} AS p FROM customer WHERE c_custkey % 2 = 0)""")
 def zip_export_rows(spark, d):
     """Paths and pretty contents of an archive."""
     rows = _documents(spark, d).select(F.concat(F.lit("owner/"), F.col("c_custkey").cast("string")).alias("repo"), F.lit("w").alias("worker"), F.when(F.col("c_custkey") % 2 == 0, "ok").otherwise("error").alias("status"), F.col("doc").alias("json"))

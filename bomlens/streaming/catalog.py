@@ -80,3 +80,16 @@ def published_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     taken = drained(spark.readStream.format("job_queue").option("path", f"{folder}/queue").load(), f"{folder}/take", f"{folder}/out")
     return taken.select(F.from_json("job", "repo long, tool string").alias("j")).select("j.*")
+
+
+def watched_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as results, watched until as many are final as the table holds."""
+    from .watch import watched
+
+    folder = _folder(spark)
+    status = lambda: F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "cancelled").otherwise("fired")
+    total = spark.read.parquet(f"{sf_dir}/events.parquet").filter(status() != "fired").count()
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), status().alias("status"))
+    out, state = watched(rows, f"watch{uuid.uuid4().hex}", total, f"{folder}/state", f"{folder}/out")
+    last = out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return last.withColumn("share", F.lit(state["share"]))
