@@ -50,8 +50,10 @@ def produce(jobs: DataFrame, name: str) -> DataFrame:
 
 
 def vectorized(rows: DataFrame, text: str, name: str = "letters") -> DataFrame:
-    """``vector`` by a registered vectorizer; an embedding model is registered as a pandas UDF."""
-    return rows.withColumn("vector", VECTORIZERS[name](F.col(text)))
+    """``vector`` by a registered vectorizer: a function of a column, or a model with a method ``frame`` for whole tables, as
+    ``subwords.learn`` gives."""
+    found = VECTORIZERS[name]
+    return found.frame(rows, text) if hasattr(found, "frame") else rows.withColumn("vector", found(F.col(text)))
 
 
 def register_sql(spark: SparkSession) -> None:
