@@ -321,3 +321,18 @@ def synthetic_documents(spark, d):
     """Generated documents and how many components they hold."""
     repos = table(spark, d, "customer").select(F.col("c_name").alias("repo"))
     return synthetic.generated(repos).select("repo", "status", F.size(D.components(D.parsed(F.col("json")))).alias("components"))
+
+
+_PREFIX = """WITH h AS (SELECT c_name, c_nationkey, md5(c_name) AS h FROM customer),
+ p AS (SELECT c_name, c_nationkey, ('0x' || substr(h, 1, 7))::BIGINT AS a, ('0x' || substr(h, 8, 7))::BIGINT AS b, ('0x' || substr(h, 15, 7))::BIGINT AS c, ('0x' || substr(h, 22, 7))::BIGINT AS d, ('0x' || substr(h, 29, 4))::BIGINT AS e, ('0x' || substr(h, 29, 2))::BIGINT AS f, ('0x' || substr(h, 29, 3))::BIGINT AS g FROM h)"""
+
+
+@query(f"""{_PREFIX}, s AS (SELECT *, CASE WHEN {_modulo(13)} = 0 THEN 'timeout' WHEN {_modulo(11)} = 0 THEN 'error' ELSE 'ok' END AS status,
+ ((((a % 51 * 268435456 + b) % 51 * 268435456 + c) % 51 * 268435456 + d) % 51 * 256 + f) % 51 AS r, ((((a % 66 * 268435456 + b) % 66 * 268435456 + c) % 66 * 268435456 + d) % 66 * 4096 + g) % 66 AS w FROM p)
+ SELECT c_name AS repo, status, CASE WHEN status = 'ok' THEN 1024 * greatest(10, least(512, CASE WHEN c_nationkey > 0 THEN c_nationkey * 100 ELSE 500 END * (10 + r) // 100)) ELSE 2 END::BIGINT AS bytes,
+ CASE WHEN status = 'ok' THEN 5 + {_modulo(36)} ELSE 0 END::INTEGER AS components, CASE WHEN status = 'ok' THEN round(greatest(0.05, least(59.75, 60.0 * (20 + w) / 100)), 3)::DOUBLE END AS seconds FROM s""")
+def sized_synthetic_documents(spark, d):
+    """Generated documents of a target size within its bounds, their components and how long they take."""
+    repos = table(spark, d, "customer").select(F.col("c_name").alias("repo"), (F.col("c_nationkey") * 100).alias("size_kb"), F.lit("https://h.org/r").alias("git_url"), F.lit("main").alias("branch"))
+    out = synthetic.generated_sized(repos)
+    return out.select("repo", "status", F.octet_length("json").cast("long").alias("bytes"), F.size(D.components(D.parsed(F.col("json")))).alias("components"), F.round("seconds", 3).alias("seconds"))

@@ -132,6 +132,18 @@ def test_synthetic_documents(spark):
     assert synthetic.skeleton(rows).count() == 60
 
 
+def test_sized_documents(spark):
+    rows = spark.createDataFrame([(f"o/r{i}", [None, 0, 40, 900, 90_000][i % 5], "u", None) for i in range(100)], "repo string, size_kb long, git_url string, branch string")
+    for r in synthetic.generated_sized(rows).collect():
+        if r["status"] == "ok":
+            d = json.loads(r["json"])
+            kb = d["metadata"]["testing"]["target_kb"]
+            assert len(r["json"]) == kb * 1024 and 10 <= kb <= 512 and 5 <= len(d["components"]) <= 40
+            assert d["metadata"]["source"] == {"git_url": "u", "branch": "", "full_name": r["repo"]} and 12 <= r["seconds"] < 60
+        else:
+            assert r["json"] == "{}" and r["seconds"] is None
+
+
 def test_producers(spark):
     @registry.producer("even")
     def even(job):
