@@ -264,7 +264,8 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. The model learns
     from rows where ``held_out`` is false; a null id counts as a training row. A null or empty text is its end
     alone; repeated rows count and are scored each; other columns are ignored; no rows give no rows. ``score`` is of the whole
-    text with A-Z lower-cased, and its end; ``bits_per_byte`` is its code length over its bytes and the end."""
+    text with A-Z lower-cased, and its end; ``bits_per_byte`` is its code length over its bytes and the end. Code lengths of single bytes travel as
+    32-bit numbers, so a score agrees with the exact recursion to about five digits after the point."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     n = shuffle_partitions(spark)

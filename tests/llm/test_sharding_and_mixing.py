@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import itertools
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -12,6 +16,20 @@ def test_matrix_has_the_sums():
     assert m.sum(1).tolist() == [5, 0, 17, 100] and m.sum(0).tolist() == [40, 41, 41] and (m >= 0).all()
 
 
+def test_every_matrix_comes_as_often_as_a_uniform_shuffle_makes_it():
+    """All matrices with these sums, by the number of shuffles that give them."""
+    rows, shards, draws = [2, 3, 1], [3, 3], 12_000
+    law = {}
+    for cells in itertools.product(*(range(n + 1) for n in rows)):
+        m = [(c, n - c) for c, n in zip(cells, rows)]
+        if [sum(x) for x in zip(*m)] == shards:
+            law[tuple(m)] = math.prod(map(math.factorial, [*rows, *shards])) / math.factorial(sum(rows)) / math.prod(math.factorial(x) for r in m for x in r)
+    assert abs(sum(law.values()) - 1) < 1e-12 and len(law) == 6
+    seen = Counter(tuple(map(tuple, sharding.communication_matrix(rows, shards, seed).tolist())) for seed in range(draws))
+    assert set(seen) == set(law)
+    assert sum((seen[m] - draws * p) ** 2 / (draws * p) for m, p in law.items()) < 20.5  # a chance of one in a thousand with five degrees of freedom
+
+
 def test_large_populations_follow_the_same_law():
     rng = np.random.default_rng(1)
     big = [sharding.hypergeometric(rng, 10**10, 3 * 10**10, 40_000) for _ in range(400)]
