@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bomlens.functions import deep_json as J
@@ -336,3 +338,38 @@ def sized_synthetic_documents(spark, d):
     repos = table(spark, d, "customer").select(F.col("c_name").alias("repo"), (F.col("c_nationkey") * 100).alias("size_kb"), F.lit("https://h.org/r").alias("git_url"), F.lit("main").alias("branch"))
     out = synthetic.generated_sized(repos)
     return out.select("repo", "status", F.octet_length("json").cast("long").alias("bytes"), F.size(D.components(D.parsed(F.col("json")))).alias("components"), F.round("seconds", 3).alias("seconds"))
+
+
+def _single_files(spark, rows):
+    """Each row as a JSON file of its own in the shared folder."""
+    from bomlens.tables import shared_root
+
+    folder = f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
+    rows.write.option("maxRecordsPerFile", 1).json(folder)
+    return folder
+
+
+@query("""SELECT c_nationkey AS nation, count(*)::INTEGER AS components, min(c_name) AS first FROM customer GROUP BY 1""")
+def scanned_folder(spark, d):
+    """Every JSON file of a folder as one document."""
+    from bomlens.sources import readers
+
+    one = F.struct(F.col("c_name").alias("name"), F.lit("library").alias("type"))
+    docs = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(one)).alias("components"))
+    found = readers.documents(spark, _single_files(spark, docs)).withColumn("doc", D.parsed(F.col("json")))
+    c = D.components(F.col("doc"))
+    return found.select(F.try_variant_get("doc", "$.c_nationkey", "int").alias("nation"), F.size(c).alias("components"), D.field(F.element_at(c, 1), "$.name").alias("first"))
+
+
+@query("""SELECT 'nation ' || c_nationkey AS name, 2::INTEGER AS tools, count(*)::INTEGER AS projects, min(CASE WHEN c_custkey % 2 = 0 THEN 'https://g.org/' || c_name ELSE 'https://github.com/' || c_name END) AS first FROM customer WHERE c_nationkey % 5 > 0 GROUP BY c_nationkey""")
+def uploaded_configurations(spark, d):
+    """Configurations as files, with either names of their fields; those without tools are not usable."""
+    from bomlens.sources import readers
+
+    even = F.col("c_custkey") % 2 == 0
+    repo = F.struct(F.when(even, F.col("c_name")).alias("full_name"), F.when(~even, F.col("c_name")).alias("repo"), F.when(even, F.concat(F.lit("https://g.org/"), "c_name")).alias("clone_url"))
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list(repo).alias("repos"))
+    tools = F.when(F.col("c_nationkey") % 5 > 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    folder = _single_files(spark, rows.select(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("name"), tools.alias("workers"), "repos"))
+    found = readers.usable(readers.configuration(spark, folder))
+    return found.select("name", F.size("workers").alias("tools"), F.size("repos").alias("projects"), F.array_min(F.transform("repos", lambda r: r["git_url"])).alias("first"))
