@@ -64,9 +64,10 @@ def nearest_in_chunks(elements: DataFrame, block: list[str], k: int = NEIGHBOURS
     """The rows of ``matching.nearest``: block, file_a, component_a, file_b, component_b, distance (squared), rank. Blocks of at most ``chunk`` vectors are one
     group each, larger ones are dealt out; results are the same. Elements without a vector take no part."""
     rows = elements.filter("vector IS NOT NULL").select(*block, F.col("file").cast("long").alias("file"), F.col("component").cast("long").alias("component"), F.col("vector").cast("array<double>").alias("vector"))
-    sizes = written(rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).filter("chunks > 1"), "knn-sizes")
+    sizes = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).filter("chunks > 1")
     if not sizes.limit(1).count():
         return nearest(rows, block, k)
+    sizes = written(sizes, "knn-sizes")
     small = nearest(rows.join(sizes.select(*block), block, "left_anti"), block, k)
     columns = ["file_a", "component_a", "file_b", "component_b", "distance", "rank"]
     return small.select(*block, *columns).union(_large(rows.join(sizes, block), sizes, block, k, chunk, pivots).select(*block, *columns))

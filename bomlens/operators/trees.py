@@ -371,7 +371,8 @@ def tree_pairs(pairs: DataFrame, a: str, b: str, threshold: float, costs: Costs
     two texts. Texts that are no JSON pair with nothing."""
     near = pairs.filter(F.col(f"{a}_profile.size").isNotNull() & F.col(f"{b}_profile.size").isNotNull())
     near = near.filter(lower_bound(F.col(f"{a}_profile"), F.col(f"{b}_profile"), costs) <= threshold)
-    texts = near.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct().withColumn("cost", tree_cost(costs)("__a", "__b")).filter(F.col("cost") <= threshold)
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in the pairs, not in their bytes
+    texts = near.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct().repartition(n, "__a", "__b").withColumn("cost", tree_cost(costs)("__a", "__b")).filter(F.col("cost") <= threshold)
     return near.join(texts, (near[a] == texts["__a"]) & (near[b] == texts["__b"])).drop("__a", "__b", f"{a}_profile", f"{b}_profile")
 
 

@@ -509,6 +509,7 @@ def tree_edit_match(spark, d):
     docs = _documents(spark, d).join(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey").filter("doc <> '' AND doc <> '{bad'")
     first = L.first_of(docs.select("c_nationkey", "c_mktsegment", "c_custkey", "doc"), ["c_nationkey", "c_mktsegment"], "c_custkey").withColumnsRenamed({"c_custkey": "first", "doc": "first_doc"})
     pairs = docs.join(first, ["c_nationkey", "c_mktsegment"]).filter("c_custkey <> first")
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")  # the work is in the pairs, not in their bytes
     return pairs.select("first", "c_custkey", F.round(X.tree_edit_cost("first_doc", "doc"), 6).alias("cost"))
 
 
