@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 #: A subtree is template if it stands on this many different pages of a host at least, and on half the root of the host's different
 #: pages at least; a block of running text must stand on half of the pages.
@@ -251,31 +251,33 @@ def _hashes(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "host string, print long, total long, found array<struct<key: long, size: long, plain: boolean>>")
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """``pages``: host, html. Returns host, template: the hashes of the host's recurring subtrees. Copies of one article count once, so a page
+def templates(hashed: DataFrame) -> DataFrame:
+    """``hashed``: rows of ``_hashes``. Returns host, template: the hashes of the host's recurring subtrees. Copies of one article count once, so a page
     that is served under many addresses is not its own template; nor is a subtree that holds most of its pages' text. At most some multiple of
     the root of a host's pages recurs often enough, so a host's row stays short."""
-    seen = _hashes(pages.select("host", "html")).select("host", "print", "total", F.explode("found").alias("f"))
+    seen = hashed.select("host", "print", "total", F.explode("found").alias("f"))
     seen = seen.groupBy("host", "print", "f.key").agg(F.max("total").alias("total"), F.max("f.size").alias("size"), F.min("f.plain").alias("plain"))
-    seen = written(seen, "subtrees")
-    sizes = seen.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = hashed.filter(F.size("found") > 0).select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("total").alias("total"), F.min("plain").alias("plain")).filter(F.col("n") >= LEAST_PAGES)
     often = F.when(F.col("plain"), 2 * F.col("n") >= F.col("pages")).otherwise(2 * F.col("n") >= F.sqrt("pages"))
     recurring = counts.filter(2 * F.col("size") < F.col("total")).join(sizes, "host").filter(often)
-    return written(recurring.groupBy("host").agg(F.collect_list("key").alias("template")), "templates")
+    return recurring.groupBy("host").agg(F.collect_list("key").alias("template"))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: its id, url and main text. Null or empty html gives the empty text; pages with a null url form
     one host; repeated rows are extracted alike; other columns are ignored; no rows give no rows."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("host", host(F.col("url")))
-    found = templates(rows)
+    # On local disks each file that is written costs the executor a process of its own (chmod), which is as large as the executor until it
+    # has begun. So hashes are written where the pages are read, not by shuffle partition, and hosts in one table.
+    hashed = written(_hashes(rows.select("host", "html")), "subtrees")
+    of = written(hashed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(templates(hashed), "host", "left"), "templates")
+    discard(hashed)
     # Hosts with many pages are split: those with more than a hundred-thousandth of all, so there are no more than LARGE of them.
-    of = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
     bar, salts = max(1000, (of.agg(F.sum("n")).first()[0] or 0) // LARGE), 64
     large = F.broadcast(of.filter(F.col("n") > bar).select("host", F.lit(True).alias("large")))
     copies = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    found = found.join(large, "host", "left").select("host", "template", F.explode(copies).alias("salt"))
+    found = of.filter(F.col("template").isNotNull()).join(large, "host", "left").select("host", "template", F.explode(copies).alias("salt"))
     salted = rows.join(large, "host", "left").withColumn("salt", F.when(F.col("large"), F.pmod(F.xxhash64("url", "page_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     joined = salted.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 

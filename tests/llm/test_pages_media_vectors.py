@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -300,3 +302,24 @@ def test_very_long_and_deep_pages(spark):
     rows = [(1, "http://a.org", deep), (2, "http://a.org", long), (None, None, "<p>x"), (4, "no url", "<nav>only a menu</nav>")]
     got = {r["page_id"]: r["text"] for r in T.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "core" and got[2].count("\n") == 29_999 and got[None] == "x" and got[4] == ""
+
+
+def test_files_are_few_however_many_shuffle_partitions(spark, monkeypatch):
+    """Hashes are written by the tasks that read the pages and deleted at last; hosts have one table."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    files = lambda: set(folder.rglob("part-*.parquet"))
+    before, gone = files(), []
+    monkeypatch.setattr(T, "discard", gone.append, raising=False)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    former = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        page = lambda i: f"<body><div class=q><p>{story(7 + i % 2, 4)}</p></div><div class=z><p>{story(1000 + i)}</p></div>"
+        rows = [(i, f"http://h{i % 2}.org/{i}", page(i)) for i in range(60)]
+        got = {r["page_id"]: r["text"] for r in T.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    finally:
+        for k, v in former.items():
+            spark.conf.set(k, v)
+    assert got == {i: story(1000 + i) for i in range(60)}
+    assert len(files() - before) <= 3 + 3 and len(gone) == 1  # Spark writes a file for the first partition, even an empty one
