@@ -63,9 +63,9 @@ def ingest(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def drained(stream: DataFrame, checkpoint: str, out: str, mode: str = "append", seconds: int = 300) -> DataFrame:
+def drained(stream: DataFrame, checkpoint: str, out: str, mode: str = "append", seconds: float | None = None) -> DataFrame:
     """Run a stream over all that is there and return what it wrote. Each batch goes to a folder of its own, so a batch that
-    runs twice overwrites itself."""
+    runs twice overwrites itself. A stream that ends with its input takes as long as it takes; ``seconds`` is for callers who want a limit."""
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
@@ -73,7 +73,9 @@ def drained(stream: DataFrame, checkpoint: str, out: str, mode: str = "append",
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        if not q.awaitTermination(seconds):
+        if seconds is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(seconds):
             raise TimeoutError(f"the stream didn't end in {seconds} s")
     finally:
         q.stop()

@@ -56,6 +56,19 @@ def test_timed_states_of_the_table(spark):
     assert len({s for s, _, _ in got.values()}) > 2
 
 
+def test_a_long_stream_is_waited_for(spark, tmp_path, monkeypatch):
+    """Waits with a limit give up at once here, as they do on a table that takes longer than the limit."""
+    from pyspark.sql.streaming.query import StreamingQuery
+
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q, timeout=None: wait(q) if timeout is None else False)
+    files(spark, tmp_path, [[(1,)]], "id long")
+    rows = lambda: spark.readStream.schema("id long").parquet(f"file://{tmp_path}/in")
+    assert drained(rows(), f"file://{tmp_path}/state", f"file://{tmp_path}/out").count() == 1
+    with pytest.raises(TimeoutError):
+        drained(rows(), f"file://{tmp_path}/state2", f"file://{tmp_path}/out2", seconds=1)
+
+
 @pytest.fixture
 def queue(spark, tmp_path):
     spark.dataSource.register(JobQueue)
