@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -28,6 +30,32 @@ def test_large_blocks_give_the_neighbours_of_one_group(spark, clustered):
     assert N.nearest_in_chunks(e.limit(0), ["project"]).count() == 0
 
 
+def _bytes(spark) -> int:
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return sum(f.stat().st_size for f in folder.glob("knn-*/*"))
+
+
+def test_small_chunks_write_no_more_than_the_vectors_a_few_times(spark):
+    """Vectors without structure visit all chunks; what is written doesn't grow with their number."""
+    r = np.random.default_rng(8)
+    rows = [("p", int(c % 3), c, r.normal(0, 1, 16).tolist()) for c in range(2000)]
+    e = spark.createDataFrame(rows, "project string, file long, component long, vector array<double>").repartition(2)
+    before = _bytes(spark)
+    got = rows_of(N.nearest_in_chunks(e, ["project"], chunk=16))
+    assert _bytes(spark) - before < 12 * 2000 * 16 * 8  # 188 chunks to visit
+    assert got == rows_of(M.nearest(e, ["project"]))
+
+
+def test_equal_vectors_are_searched_once(spark):
+    """Many copies of few vectors, in several files, some with the same component's number."""
+    r = np.random.default_rng(9)
+    some = np.round(r.normal(0, 1, (12, 4)), 1)
+    rows = [("p", int(f), int(c), some[i].tolist()) for i, f, c in zip(r.integers(0, 12, 600), r.integers(0, 3, 600), r.permutation(600))]
+    e = spark.createDataFrame(rows, "project string, file long, component long, vector array<double>").repartition(3)
+    got = rows_of(N.nearest_in_chunks(e, ["project"], chunk=50))
+    assert got == rows_of(M.nearest(e, ["project"])) and len(got) == 1800
+
+
 def test_clusters_visit_few_chunks():
     """The bounds spare clustered vectors the other cells: counted with the geometry that routes them."""
     r = np.random.default_rng(5)
