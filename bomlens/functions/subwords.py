@@ -33,14 +33,18 @@ def buckets(text: Column) -> Column:
 
 
 def _summed(held: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows; those of empty runs are 0."""
-    upto = np.concatenate([np.zeros((1, held.shape[1])), np.cumsum(held, axis=0)])
-    return upto[first + n] - upto[first]
+    """Sums of runs of rows, one behind the other; those of empty runs are 0. Equal runs have equal sums to the last bit, wherever they lie."""
+    out = np.zeros((len(n), held.shape[1]))
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some] = np.add.reduceat(held, first[some], axis=0)
+    return out
 
 
 def _product(rows: DataFrame, weight: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """The transpose of the components' matrix times that matrix times ``thin``. Tasks sum their components; sums meet column by column."""
+    """The transpose of the components' matrix times that matrix times ``thin``; ``rows``: columns, and times if they come more than once. Tasks sum their components; sums meet column by column."""
     spark = rows.sparkSession
+    times = F.col("times") if "times" in rows.columns else F.lit(1).cast("long").alias("times")
     shared = spark.sparkContext.broadcast((weight, thin))  # BUCKETS rows, a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +55,7 @@ def _product(rows: DataFrame, weight: np.ndarray, thin: np.ndarray) -> np.ndarra
             column = b.column(0)
             flat = column.flatten().to_numpy()
             n = np.diff(column.offsets.to_numpy())
-            inner = _summed(scaled[flat], np.cumsum(n) - n, n)
+            inner = _summed(scaled[flat], np.cumsum(n) - n, n) * b.column(1).to_numpy()[:, None]
             np.add.at(out, flat, np.repeat(inner, n, axis=0) * weight[flat, None])
         some = np.flatnonzero(out.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([out[i].tobytes() for i in some], pa.binary())], names=["bucket", "sums"])
@@ -68,7 +72,7 @@ def _product(rows: DataFrame, weight: np.ndarray, thin: np.ndarray) -> np.ndarra
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "bucket long, sums binary"
     out = np.zeros_like(thin)
-    for r in rows.select("columns").mapInArrow(run, schema).repartition(n, "bucket").mapInArrow(met, schema).collect():  # BUCKETS rows at most
+    for r in rows.select("columns", times).mapInArrow(run, schema).repartition(n, "bucket").mapInArrow(met, schema).collect():  # BUCKETS rows at most
         out[r["bucket"]] = np.frombuffer(r["sums"])
     return out
 
@@ -103,9 +107,10 @@ class Subwords:
 def learn(components: DataFrame, text: str, *, dimensions: int = DIMENSIONS, rounds: int = ROUNDS, seed: int = 3) -> Subwords:
     """Learn from a column of texts; null texts and those without an n-gram take no part. The same rows give the same vectors, however they are
     split (up to the last bits of sums)."""
-    rows = written(components.select(buckets(F.col(text)).alias("columns")).filter(F.size("columns") > 0), "subwords")
-    seen = {r["b"]: r["n"] for r in rows.select(F.explode(F.array_distinct("columns")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}  # BUCKETS rows at most
-    total, held = rows.count(), np.zeros(BUCKETS)
+    rows = components.groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("n")).select(buckets(F.col("text")).alias("columns"), "n")
+    rows = written(rows.filter(F.size("columns") > 0).groupBy("columns").agg(F.sum("n").alias("times")), "subwords")
+    seen = {r["b"]: r["n"] for r in rows.select(F.explode(F.array_distinct("columns")).alias("b"), "times").groupBy("b").agg(F.sum("times").alias("n")).collect()}  # BUCKETS rows at most
+    total, held = rows.agg(F.coalesce(F.sum("times"), F.lit(0))).collect()[0][0], np.zeros(BUCKETS)
     for b, n in seen.items():
         held[b] = np.log((total + 1) / (n + 0.5))
     thin = np.random.default_rng(seed).choice([-1.0, 1.0], (BUCKETS, dimensions + SPARE))

@@ -59,3 +59,10 @@ def test_columns_and_products_are_plain_ones(spark):
     assert vectors[None] is None and vectors[""] is None
     want = x[0] @ thin
     assert np.allclose(vectors["AES-128 cbc"], want / np.linalg.norm(want))
+
+
+def test_equal_texts_have_equal_vectors(spark):
+    """To the last bit, wherever they lie in a batch; else copies of a text are at a distance from each other."""
+    rows = spark.createDataFrame([(k, f"large bolt {k % 7} ring") for k in range(400)], "id long, text string").repartition(3)
+    vectors = subwords.learn(rows, "text", dimensions=8).frame(rows, "text").collect()
+    assert len({(r["text"], tuple(r["vector"])) for r in vectors}) == 7
