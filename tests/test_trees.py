@@ -175,3 +175,33 @@ def test_lower_bounds_and_pairs_in_reach(spark):
     got = {(r["i"], r["j"]): r["cost"] for r in T.tree_pairs(pairs, "x", "y", 3.0).collect()}
     assert got == pytest.approx({k: c for k, c in exact.items() if c <= 3.0})
     assert sum(b > 3.0 for b in bound.values() if b is not None) > 100
+
+
+def test_pairs_that_differ_in_one_label_need_no_distance(spark, monkeypatch):
+    """Their costs are those of the exact distance, which is only computed for the others, with either cost model."""
+    import json
+
+    r = random.Random(11)
+    base = {"components": [{"type": "library", "name": "n1", "v": [1, 1, 2]}, {"type": "library", "name": "n1"}]}
+    texts = []
+    for _ in range(60):
+        doc = json.loads(json.dumps(base))
+        for _ in range(r.randint(0, 2)):
+            doc["components"][r.randint(0, 1)][r.choice(["type", "name"])] = r.choice(["library", "n1", "n2", "a much longer name", "x\0"])
+        if r.random() < 0.3:
+            doc["components"][0]["v"][r.randint(0, 2)] = r.randint(1, 3)
+        texts.append(json.dumps(doc))
+    e = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("profile", T.tree_profile("text"))
+    side = lambda i, x: e.select(F.col("id").alias(i), F.col("text").alias(x), F.col("profile").alias(f"{x}_profile"))
+    pairs = side("i", "x").crossJoin(side("j", "y")).filter("i < j")
+    trees = [T.Tree.read(t) for t in texts]
+    other = T.Costs(delete=0.4, insert=0.3, rename=lambda kind, a, b: 0.0 if a == b else 0.25 + 0.1 * abs(len(a) - len(b)), least=0.25)
+    for costs, threshold in ((T.JSON_COSTS, 0.99), (T.JSON_COSTS, 1.6), (other, 0.6)):
+        want = {(i, j): T.tree_distance(trees[i], trees[j], costs) for i in range(60) for j in range(i + 1, 60)}
+        got = {(r["i"], r["j"]): r["cost"] for r in T.tree_pairs(pairs, "x", "y", threshold, costs).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items() if v <= threshold + 1e-12} and len(got) > 100
+    # Where all pairs differ in one label, none of them is handed to the exact distance.
+    monkeypatch.setattr(T, "tree_cost", lambda costs=None: F.udf(lambda x, y: 1 / 0, "double"))
+    names = spark.createDataFrame([(k, f'{{"name": "n{k}"}}') for k in range(20)], "id long, text string").withColumn("profile", T.tree_profile("text"))
+    side = lambda i, x: names.select(F.col("id").alias(i), F.col("text").alias(x), F.col("profile").alias(f"{x}_profile"))
+    assert T.tree_pairs(side("i", "x").crossJoin(side("j", "y")).filter("i < j"), "x", "y", 0.99).count() == 190
