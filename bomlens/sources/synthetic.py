@@ -51,7 +51,8 @@ def seconds(repo: Column, limit_s: float) -> Column:
 def generated_sized(repos: DataFrame, limit_s: float = 60.0) -> DataFrame:
     """``repos``: repo, size_kb, git_url, branch. Returns repo, status, seconds and document, empty unless the status is ok. A document has exactly its target size
     in bytes, with metadata: what its components lack to that is dealt to their notes; if they are too large already, three tenths of them
-    stay."""
+    stay. Projects are dealt to tasks by number, since their documents are thousands of times as large as their rows, of which a task would read all."""
+    repos = repos.repartition(int(repos.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     repo, kinds = F.col("repo"), F.array(*[F.lit(k) for k in ASSET_TYPES])
     source = F.struct(F.coalesce("git_url", F.lit("")).alias("git_url"), F.coalesce("branch", F.lit("")).alias("branch"), F.coalesce(repo, F.lit("")).alias("full_name"))
     rows = repos.select("repo", source.alias("source"), status(repo).alias("status"), target_kb(repo, F.col("size_kb")).alias("target_kb"), seconds(repo, limit_s).alias("seconds"), (5 + hash_bucket(repo, 36)).alias("many"), hash_bucket(repo, len(ASSET_TYPES)).alias("kind"))

@@ -175,3 +175,10 @@ def test_streamed_states(spark, tmp_path):
     q = streams.ingest(streams.source(spark, str(tmp_path / "in"), schema), lambda df, _: seen.append(df.count()), str(tmp_path / "ingest"))
     q.awaitTermination(60)
     assert sum(seen) == 4
+
+
+def test_sized_documents_are_made_by_all_tasks(spark):
+    """However few tasks read the projects: a single file of them is one task's."""
+    repos = spark.range(400).select(F.concat(F.lit("r"), "id").alias("repo"), F.lit(200).alias("size_kb"), F.lit("u").alias("git_url"), F.lit("b").alias("branch")).coalesce(1)
+    out = synthetic.generated_sized(repos).select(F.spark_partition_id().alias("task"), F.octet_length("json").alias("bytes")).groupBy("task").agg(F.sum("bytes").alias("bytes")).collect()
+    assert len(out) == 4 and max(r["bytes"] for r in out) < 2 * min(r["bytes"] for r in out)
